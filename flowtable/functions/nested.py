@@ -33,23 +33,41 @@ def _holds_refs(dtype: T.DataType) -> bool:
     return False
 
 
+def _empty() -> Column:
+    return F.array().cast(REF_TYPE)
+
+
+def _as_ref(value: Column, dtype: T.StructType) -> Column:
+    optional = value["optional"] if "optional" in dtype.fieldNames() else F.lit(False)
+    return F.struct(
+        value["kind"].alias("kind"),
+        value["path"].alias("path"),
+        F.coalesce(optional, F.lit(False)).alias("optional"),
+    )
+
+
 def _refs(value: Column, dtype: T.DataType) -> Column:
-    """All references in a value, as one array; empty for null."""
-    empty = F.array().cast(REF_TYPE)
+    """All references in a value as one array (null entries included); empty for null."""
+    if _is_ref(dtype):
+        return F.when(value.isNull(), _empty()).otherwise(F.array(_as_ref(value, dtype)).cast(REF_TYPE))
+    if isinstance(dtype, T.StructType):
+        return F.concat(*[_refs(value[f.name], f.dataType) for f in dtype.fields if _holds_refs(f.dataType)])
+    if isinstance(dtype, T.MapType):
+        return _refs_in_array(F.map_values(value), dtype.valueType)
+    return _refs_in_array(value, dtype.elementType)
+
+
+def _refs_in_array(values: Column, dtype: T.DataType) -> Column:
+    """The same for an array, a field of all its structs at a time: that needs no lambda."""
     if _is_ref(dtype):
-        optional = value["optional"] if "optional" in dtype.fieldNames() else F.lit(False)
-        ref = F.struct(
-            value["kind"].alias("kind"),
-            value["path"].alias("path"),
-            F.coalesce(optional, F.lit(False)).alias("optional"),
-        )
-        return F.when(value.isNull(), empty).otherwise(F.array(ref).cast(REF_TYPE))
+        if dtype.fieldNames() == ["kind", "path", "optional"]:
+            return F.coalesce(values.cast(REF_TYPE), _empty())
+        return F.coalesce(F.transform(values, lambda v: _as_ref(v, dtype)), _empty())
     if isinstance(dtype, T.StructType):
-        inner = [_refs(value[f.name], f.dataType) for f in dtype.fields if _holds_refs(f.dataType)]
-        return F.concat(*inner)
+        return F.concat(*[_refs_in_array(values[f.name], f.dataType) for f in dtype.fields if _holds_refs(f.dataType)])
     if isinstance(dtype, T.MapType):
-        return _refs(F.map_values(value), T.ArrayType(dtype.valueType))
-    return F.coalesce(F.flatten(F.transform(value, lambda v: _refs(v, dtype.elementType))), empty)
+        return _refs_in_array(F.transform(values, F.map_values), T.ArrayType(dtype.valueType))
+    return _refs_in_array(F.flatten(F.array_compact(values)), dtype.elementType)
 
 
 def _dtype_of(schema: T.StructType, name: str) -> T.DataType:
@@ -66,13 +84,24 @@ def collect_refs(df: DataFrame, column: str, kind: str) -> Column:
     """
     dtype = _dtype_of(df.schema, column)
     if not _holds_refs(dtype):
-        return F.array().cast(REF_TYPE)
-    wanted = {
-        "output": lambda r: r["kind"] == "output",
-        "directory": lambda r: r["kind"] == "directory",
-        "input": lambda r: ~r["kind"].isin("output", "directory"),
-    }[kind]
-    return F.array_distinct(F.filter(_refs(F.col(column), dtype), wanted))
+        return _empty()
+    return F.array_distinct(F.filter(_refs(F.col(column), dtype), lambda r: ref_class(r["kind"]) == kind))
+
+
+def ref_class(kind: Column) -> Column:
+    """`output`, `directory`, or `input` for every input kind; null stays null."""
+    return F.when(kind.isin("output", "directory"), kind).when(kind.isNotNull(), "input")
+
+
+def explode_refs(df: DataFrame, column: str, *keep: str) -> DataFrame:
+    """One row per distinct reference in a column: `keep` columns, class, kind, path, optional."""
+    dtype = _dtype_of(df.schema, column)
+    refs = _refs(F.col(column), dtype) if _holds_refs(dtype) else _empty()
+    return (
+        df.select(*keep, F.inline(F.array_distinct(refs)))
+        .where(F.col("path").isNotNull())
+        .select(*keep, ref_class(F.col("kind")).alias("class"), "kind", "path", "optional")
+    )
 
 
 def input_files(df: DataFrame, input_col: str, params_col: str) -> Column:

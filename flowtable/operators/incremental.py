@@ -47,24 +47,23 @@ def plan_skips(items: DataFrame, outputs: DataFrame, manifest: DataFrame, item="
 
 def existing(df: DataFrame, manifest: DataFrame, path_col: str = "path", negate: bool = False) -> DataFrame:
     """Rows whose path exists (or does not, with `negate`)."""
-    files = manifest.select(F.col("path").alias("__path"))
+    files = manifest.select(F.col("path").alias("__path")).distinct()
     return df.join(files, df[path_col] == files["__path"], "left_anti" if negate else "left_semi")
 
 
 def directory_files(dirs: DataFrame, manifest: DataFrame, dir_col: str = "dir") -> DataFrame:
     """(dir, path) for every manifest file below one of the directories, at any depth."""
     wanted = dirs.select(F.rtrim(F.col(dir_col), F.lit("/")).alias("dir")).distinct()
-    return (
-        manifest.select("path", F.explode(ancestor_dirs("path")).alias("dir"))
-        .join(wanted, "dir")
-        .select("dir", "path")
-        .distinct()
-    )
+    # Distinct before the join: afterwards all files of a folder would share one task.
+    files = manifest.select("path").distinct()
+    return files.select("path", F.explode(ancestor_dirs("path")).alias("dir")).join(wanted, "dir").select("dir", "path")
 
 
 def unused_files(listing: DataFrame, referenced: DataFrame) -> DataFrame:
     """Files nothing refers to. Only found here; deleting them is the caller's decision."""
-    return listing.select("path").distinct().join(referenced.select("path"), "path", "left_anti")
+    return listing.select("path").distinct().join(
+        referenced.select("path").distinct(), "path", "left_anti"
+    )
 
 
 def to_manifest(listing: DataFrame, root: str) -> DataFrame:
@@ -110,7 +109,8 @@ def lineage(producers: DataFrame, consumers: DataFrame) -> DataFrame:
 
 def dangling(consumers: DataFrame, producers: DataFrame) -> DataFrame:
     """Distinct (consumer, path) whose file nobody produced."""
-    return consumers.select("consumer", "path").distinct().join(producers.select("path"), "path", "left_anti")
+    known = producers.select("path").distinct()
+    return consumers.select("consumer", "path").distinct().join(known, "path", "left_anti")
 
 
 def staging_plan(files: DataFrame, group="group") -> DataFrame:

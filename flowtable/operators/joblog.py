@@ -27,10 +27,11 @@ def submit_log(submits: DataFrame, polls: DataFrame) -> DataFrame:
     ids = F.coalesce(
         *[F.when(F.col("scheduler") == s, job_id(F.col("response"), s)) for s in JOB_ID_PATTERNS]
     )
-    submitted = submits.select(ids.alias("job"), F.lit(True).alias("__submitted"))
+    # Both sides are counted per job before they meet; all unparsable ones become one row.
+    submitted = submits.groupBy(ids.alias("job")).agg(F.count(F.lit(1)).alias("__submits"))
     polled = polls.groupBy("job").agg(F.count(F.lit(1)).alias("__polls"))
     outcome = (
-        F.when(F.col("__submitted").isNull(), "unknown job")
+        F.when(F.col("__submits").isNull(), "unknown job")
         .when(F.col("job").isNull(), "unparsable")
         .when(F.col("__polls").isNull(), "never polled")
         .otherwise("polled")
@@ -38,7 +39,10 @@ def submit_log(submits: DataFrame, polls: DataFrame) -> DataFrame:
     return (
         submitted.join(polled, "job", "full")
         .groupBy(outcome.alias("outcome"))
-        .agg(F.count(F.lit(1)).alias("jobs"), F.coalesce(F.sum("__polls"), F.lit(0)).alias("polls"))
+        .agg(
+            F.sum(F.coalesce("__submits", F.lit(1))).alias("jobs"),
+            F.coalesce(F.sum("__polls"), F.lit(0)).alias("polls"),
+        )
     )
 
 

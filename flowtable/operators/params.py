@@ -75,7 +75,7 @@ def _missing(value: Column, required: Sequence[str]) -> list[Column]:
     return checks
 
 
-def bind_params(
+def bound_params(
     df: DataFrame,
     json: str,
     schema: T.StructType,
@@ -83,8 +83,8 @@ def bind_params(
     required: Sequence[str] = (),
     override: str | None = None,
     out: str = "params",
-) -> tuple[DataFrame, DataFrame]:
-    """Bind a JSON column to `schema`: (rows with struct `out`, rows with `violations`).
+) -> DataFrame:
+    """Bind a JSON column to `schema`: add the struct `out` and an array of `violations`.
 
     Dotted names reach nested fields. Where the `override` column (a struct of the same
     schema) is not null it is taken as a whole instead of the JSON.
@@ -92,13 +92,29 @@ def bind_params(
     schema = _nullable(schema)
     parsed = df.withColumn("__p", parse_params(json, schema))
     value = _fill(F.col("__p.value"), schema, defaults or {})
-    checks = F.when(F.col("__p.malformed"), F.array(F.lit("malformed"))).otherwise(
-        F.array_compact(F.array(*_missing(F.col("__v"), required), F.lit(None).cast("string")))
-    )
+    missing = F.array_compact(F.array(F.lit(None).cast("string"), *_missing(F.col(out), required)))
+    checks = F.when(F.col("__p.malformed"), F.array(F.lit("malformed"))).otherwise(missing)
     if override is not None:
         value = F.coalesce(col(override), value)
         checks = F.when(col(override).isNotNull(), F.array().cast("array<string>")).otherwise(checks)
-    bound = parsed.withColumn("__v", value).withColumn("violations", checks).withColumnRenamed("__v", out).drop("__p")
+    return parsed.withColumn(out, value).withColumn("violations", checks).drop("__p")
+
+
+def bind_params(
+    df: DataFrame,
+    json: str,
+    schema: T.StructType,
+    defaults: Mapping[str, Any] | None = None,
+    required: Sequence[str] = (),
+    override: str | None = None,
+    out: str = "params",
+) -> tuple[DataFrame, DataFrame]:
+    """`bound_params` as (rows that bind, rows with `violations`).
+
+    Each side parses the JSON again; to use both, split the result of `bound_params` after
+    writing it, or keep it whole.
+    """
+    bound = bound_params(df, json, schema, defaults, required, override, out)
     good = F.size("violations") == 0
     return bound.where(good).drop("violations"), bound.where(~good).drop(out)
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowtable.functions.common import names
-from flowtable.session import fits_one_task, materialise, wide_partitions
+from flowtable.session import fits_one_task, materialise
 
 _SEQ, _PART, _BEFORE, _RANK, _START = "__seq", "__part", "__before", "__rank", "__start"
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row index in its low 33 bits
@@ -40,7 +40,7 @@ def _position_by_range(df: DataFrame, by: list[str], order: list[str], pos: str)
     # The numbers depend on where the range bounds fell, so they are written once and
     # read back: tasks that run again after a lost executor see the same numbers.
     numbered = materialise(
-        df.repartitionByRange(wide_partitions(df), *keys)
+        df.repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
         .withColumn(_SEQ, F.monotonically_increasing_id()),
         "position",
@@ -58,20 +58,26 @@ def _position_by_range(df: DataFrame, by: list[str], order: list[str], pos: str)
         numbered.withColumn(_PART, part)
         .join(F.broadcast(offsets), _PART)
         .withColumn(_RANK, F.col(_BEFORE) + index)
-        .drop(_SEQ, _PART, _BEFORE)
+        .drop(_SEQ, _BEFORE)
     )
     if not by:
-        return ranked.withColumn(pos, F.col(_RANK) + 1).drop(_RANK)
-    # Rows of one key are contiguous in the overall order, so its first rank is enough.
-    starts = ranked.groupBy(*[F.col(b).alias(f"__k_{b}") for b in by]).agg(F.min(_RANK).alias(_START))
-    same = None
+        return ranked.withColumn(pos, F.col(_RANK) + 1).drop(_PART, _RANK)
+    # Rows of one key are contiguous in the overall order, so its first rank is enough. It
+    # is looked up by key and partition: a hot key spans partitions, so no group is large.
+    within = [F.col(b).alias(f"__k_{b}") for b in by]
+    key = [f"__k_{b}" for b in by]
+    starts = (
+        ranked.groupBy(*within, F.col(_PART).alias("__p"))
+        .agg(F.min(_RANK).alias(_START))
+        .withColumn(_START, F.min(_START).over(Window.partitionBy(*key)))  # a row per partition at most
+    )
+    same = F.col(_PART) == F.col("__p")
     for b in by:
-        match = F.col(b).eqNullSafe(F.col(f"__k_{b}"))
-        same = match if same is None else same & match
+        same = same & F.col(b).eqNullSafe(F.col(f"__k_{b}"))
     return (
         ranked.join(starts, same)
         .withColumn(pos, F.col(_RANK) - F.col(_START) + 1)
-        .drop(_RANK, _START, *[f"__k_{b}" for b in by])
+        .drop(_PART, "__p", _RANK, _START, *key)
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowtable.functions.nested import collect_refs, file_ref
+from flowtable.functions.nested import explode_refs, file_ref
 from flowtable.functions.units import bytes_of
 from flowtable.operators import catalog as c
 from flowtable.operators import incremental as inc
@@ -129,13 +129,8 @@ def collect_refs_query(spark, sf):
         F.struct(file_ref("directory", folder).alias("dir")).alias("deep"),
     )
     items = m.table(spark, sf, "lineitem").select(value.alias("value"))
-
-    def tagged_as(kind):
-        tag = F.lit(kind).alias("kind")
-        return F.transform(collect_refs(items, "value", kind), lambda r: F.struct(tag, r["path"].alias("path")))
-
-    tagged = F.concat(tagged_as("output"), tagged_as("directory"), tagged_as("input"))
-    return items.select(F.inline(tagged)).groupBy("kind", "path").agg(F.count(F.lit(1)).alias("items"))
+    refs = explode_refs(items, "value")
+    return refs.groupBy(F.col("class").alias("kind"), "path").agg(F.count(F.lit(1)).alias("items"))
 
 
 PARAMS = T.StructType(
@@ -176,18 +171,16 @@ def param_bind(spark, sf):
     )
     json = F.when(i % 19 == 0, F.concat(F.lit("{"), fields)).otherwise(F.concat(F.lit("{"), fields, F.lit("}")))
     rows = m.table(spark, sf, "events").select("event_id", json.alias("json"))
-    good, bad = p.bind_params(
+    bound = p.bound_params(
         rows, "json", PARAMS, defaults={"withDefault": "default", "complexValue.doubleValue": 2.5}, required=["k"]
     )
-    v = F.col("params")
-    bound = good.select(
+    v = F.when(F.size("violations") == 0, F.col("params"))
+    return bound.select(
         "event_id", v["k"].alias("k"), v["withDefault"].alias("with_default"),
         v["complexValue"]["intValue"].alias("int_value"), v["complexValue"]["doubleValue"].alias("double_value"),
         F.concat_ws(",", F.coalesce(v["tags"], F.array())).alias("tags"),
-        v["extra"]["text"].alias("extra_text"), F.lit("").alias("violations"),
+        v["extra"]["text"].alias("extra_text"), F.concat_ws(",", "violations").alias("violations"),
     )
-    rejected = bad.select("event_id", F.lit("").alias("tags"), F.concat_ws(",", "violations").alias("violations"))
-    return bound.unionByName(rejected, allowMissingColumns=True)
 
 
 SHAPES = {

@@ -72,10 +72,3 @@ def fits_one_task(df: DataFrame, limit: int | None = None) -> bool:
         )
     size = plan_bytes(df)
     return size is not None and size <= limit
-
-
-def wide_partitions(df: DataFrame, target: int = 128 * 1024 * 1024) -> int:
-    """Partition count for an explicit range shuffle, about `target` bytes each."""
-    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = plan_bytes(df) or 0
-    return max(configured, min(size // target + 1, 100_000))
