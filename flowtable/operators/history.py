@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from flowtable.functions.common import col, names
 from flowtable.functions.states import COMPLETED, task_status, workflow_status
 from flowtable.functions.units import duration_text, time_text
-from flowtable.operators.position import exact_percentiles, running_peaks, with_position
+from flowtable.operators.position import distribution, running_peaks, with_position
 
 STATUSES = {
     "in_progress": "IN_PROGRESS",
@@ -72,14 +72,16 @@ def duration_stats(task_runs: DataFrame, by="task_name", as_of=None, shares=None
     """Count, mean, extremes and exact discrete percentiles of task-run durations."""
     keys = names(by)
     shares = {"p50": 0.5, "p90": 0.9, "p99": 0.99} if shares is None else shares
-    timed = task_runs.select(*keys, duration_ms(as_of).alias("ms")).where(F.col("ms").isNotNull())
-    basic = timed.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg("ms").alias("avg_ms"),
-        F.min("ms").alias("min_ms"),
-        F.max("ms").alias("max_ms"),
+    timed = task_runs.select(*keys, duration_ms(as_of).alias("ms"))
+    spread = distribution(timed, keys, "ms", shares, width)
+    return spread.select(
+        *keys,
+        "n",
+        (F.col("total") / F.col("n")).alias("avg_ms"),
+        F.col("least").alias("min_ms"),
+        F.col("most").alias("max_ms"),
+        *shares,
     )
-    return basic.join(exact_percentiles(timed, keys, "ms", shares, width), keys)
 
 
 def concurrency(task_runs: DataFrame, by="task_name", slots: Column | None = None, as_of=None,

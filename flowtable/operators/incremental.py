@@ -110,7 +110,8 @@ def lineage(producers: DataFrame, consumers: DataFrame) -> DataFrame:
 def dangling(consumers: DataFrame, producers: DataFrame) -> DataFrame:
     """Distinct (consumer, path) whose file nobody produced."""
     known = producers.select("path").distinct()
-    return consumers.select("consumer", "path").distinct().join(known, "path", "left_anti")
+    wanted = consumers.select("consumer", "path").distinct()
+    return wanted.join(known, "path", "left_anti").select("consumer", "path")
 
 
 def staging_plan(files: DataFrame, group="group") -> DataFrame:

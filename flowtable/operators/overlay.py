@@ -10,22 +10,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowtable.functions.paths import kebab
+from flowtable.session import materialise
 
 DEFAULT_KEY = "default"
 _RANKS = {0: "default", 1: "name", 2: "label"}
 
 
 def _entity_keys(entities: DataFrame) -> DataFrame:
-    """(name, key, rank): the keys an entity answers to, each once, at its first rank."""
+    """(name, key, rank): the keys besides the default one that an entity answers to, each once.
+
+    A key that is both the entity's name and one of its labels counts as the name.
+    """
     own = kebab("name")
     labels = F.array_distinct(F.transform(F.coalesce("labels", F.array().cast("array<string>")), kebab))
     others = F.filter(labels, lambda k: (k != own) & (k != DEFAULT_KEY))
     key = lambda k, rank: F.struct(k.alias("key"), F.lit(rank).alias("rank"))
-    keys = F.concat(
-        F.array(key(F.lit(DEFAULT_KEY), 0)),
-        F.when(own != DEFAULT_KEY, F.array(key(own, 1))).otherwise(F.expr("array()").cast("array<struct<key:string,rank:int>>")),
-        F.transform(others, lambda k: key(k, 2)),
-    )
+    none = F.array().cast("array<struct<key:string,rank:int>>")
+    keys = F.concat(F.when(own != DEFAULT_KEY, F.array(key(own, 1))).otherwise(none), F.transform(others, lambda k: key(k, 2)))
     return entities.select("name", F.inline(keys))
 
 
@@ -46,11 +47,11 @@ def match_layers(entities: DataFrame, settings: DataFrame) -> DataFrame:
     A key that matches an entity's name counts as its name layer even if a label matches
     too. Label layers with the same content collapse into the first of them.
     """
-    keys, layers = _entity_keys(entities), _layers(settings)
+    layers = _layers(settings)
     # Every entity has the default key: its layer is one row, so it travels to the entities.
     default = F.broadcast(layers.where(F.col("key") == DEFAULT_KEY))
-    shared = keys.where(F.col("rank") == 0).join(default, "key")
-    rest = keys.where(F.col("rank") > 0).join(layers.where(F.col("key") != DEFAULT_KEY), "key")
+    shared = entities.select("name", F.lit(DEFAULT_KEY).alias("key"), F.lit(0).alias("rank")).join(default, "key")
+    rest = _entity_keys(entities).join(layers.where(F.col("key") != DEFAULT_KEY), "key")
     layer = F.when(F.col("rank") == 0, _RANKS[0]).when(F.col("rank") == 1, _RANKS[1]).otherwise(_RANKS[2])
     matched = shared.unionByName(rest).withColumn("layer", layer)
     return (
@@ -64,7 +65,9 @@ def match_layers(entities: DataFrame, settings: DataFrame) -> DataFrame:
 def unmatched_settings(entities: DataFrame, settings: DataFrame) -> DataFrame:
     """Settings keys that apply to no entity (an error in the settings)."""
     used = _entity_keys(entities).select("key").distinct()
-    return settings.select("key").distinct().join(used, "key", "left_anti")
+    # The default key needs some entity to apply to; one row tells.
+    default = entities.limit(1).select(F.lit(DEFAULT_KEY).alias("key"))
+    return settings.select("key").distinct().join(used.unionByName(default), "key", "left_anti")
 
 
 def overlay(entities: DataFrame, settings: DataFrame) -> DataFrame:
@@ -75,11 +78,13 @@ def overlay(entities: DataFrame, settings: DataFrame) -> DataFrame:
     distinct combination of layers rather than once per entity.
     """
     rank = F.when(F.col("layer") == "default", 0).when(F.col("layer") == "name", 1).otherwise(2)
-    chosen = (
+    # Used twice below: written once, so that the matching does not run again.
+    chosen = materialise(
         match_layers(entities, settings)
         .groupBy("name")  # at most the entity's labels plus two
         .agg(F.sort_array(F.collect_list(F.struct(rank.alias("rank"), "seq", "key"))).alias("__l"))
-        .select("name", F.transform("__l", lambda x: x["key"]).alias("stack"))
+        .select("name", F.transform("__l", lambda x: x["key"]).alias("stack")),
+        "stacks",
     )
     stacks = chosen.select("stack").distinct()
     effective = _merge(stacks, settings)
@@ -97,14 +102,15 @@ def _merge(stacks: DataFrame, settings: DataFrame) -> DataFrame:
     parts = F.split("path", r"\.")
     node = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "."))
     own = F.col("node") == F.col("path")
-    nodes = (
+    nodes = materialise(
         leaves.withColumn("node", F.explode(node))
         .groupBy("stack", "node")
         .agg(
             F.max(F.when(own, F.col("prio"))).alias("at"),
             F.max("prio").alias("below"),
             F.max_by(F.when(own, F.col("value")), F.when(own, F.col("prio"))).alias("value"),
-        )
+        ),
+        "nodes",
     )
     top = nodes.where(F.col("at") >= F.col("below")).select("stack", F.col("node").alias("path"), "value", "at")
     # A leaf is hidden by a scalar of a higher layer at one of the nodes above it.

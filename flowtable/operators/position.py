@@ -129,12 +129,13 @@ def running_peaks(points: DataFrame, by, at: str, delta: str, width: int) -> Dat
     return slots.withColumn("__peak", total).groupBy(*by).agg(F.max("__peak").cast("bigint").alias("peak"))
 
 
-def exact_percentiles(df: DataFrame, by, value: str, shares: dict[str, float], width: int) -> DataFrame:
-    """Discrete percentiles of a non-negative integer column, exact at any size.
+def distribution(df: DataFrame, by, value: str, shares: dict[str, float], width: int) -> DataFrame:
+    """Count `n`, `total`, `least`, `most` and discrete percentiles of a non-negative integer column.
 
-    Output column `name` of `shares` is the smallest value with at least that share of the
-    rows at or below it. Rows are counted per distinct value, values per window of `width`;
-    only the windows that hold a wanted rank are looked into, each at most `width` values.
+    Exact at any size. Column `name` of `shares` is the smallest value with at least that
+    share of the rows at or below it. Rows are counted per distinct value, values per window
+    of `width`; only the windows that hold a wanted rank are looked into, each at most
+    `width` values long.
     """
     by = names(by)
     counts = (
@@ -142,24 +143,31 @@ def exact_percentiles(df: DataFrame, by, value: str, shares: dict[str, float], w
         .groupBy(*by, F.floor(F.col(value) / width).alias("__slot"), F.col(value).alias("__v"))
         .agg(F.count(F.lit(1)).alias("__n"))
     )
-    slots = counts.groupBy(*by, "__slot").agg(F.sum("__n").alias("__in"))
+    slots = counts.groupBy(*by, "__slot").agg(
+        F.sum("__n").alias("__in"),
+        F.sum(F.col("__v") * F.col("__n")).alias("__sum"),
+        F.min("__v").alias("__low"),
+        F.max("__v").alias("__high"),
+    )
     upto = Window.partitionBy(*by).orderBy("__slot").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*by).orderBy("__slot").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     wanted = F.explode(
         F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(p)).alias("p")) for n, p in shares.items()])
     )
-    # At most one window per key and percentile.
+    # At most one window per key and percentile; the key's totals ride along.
+    totals = {"n": F.sum("__in"), "total": F.sum("__sum"), "least": F.min("__low"), "most": F.max("__high")}
     targets = (
         slots.withColumn("__upto", F.sum("__in").over(upto))
-        .withColumn("__all", F.sum("__in").over(whole))
+        .withColumns({f"__{name}_all": total.over(whole) for name, total in totals.items()})
         .withColumn("__w", wanted)
-        .withColumn("__rank", F.greatest(F.lit(1), F.ceil(F.col("__all") * F.col("__w.p"))))
+        .withColumn("__rank", F.greatest(F.lit(1), F.ceil(F.col("__n_all") * F.col("__w.p"))))
         .where((F.col("__rank") <= F.col("__upto")) & (F.col("__rank") > F.col("__upto") - F.col("__in")))
         .select(
             *[F.col(b).alias(f"__k_{b}") for b in by],
             F.col("__slot").alias("__ks"),
             F.col("__w.name").alias("__name"),
             (F.col("__rank") - F.col("__upto") + F.col("__in")).alias("__need"),
+            *[f"__{name}_all" for name in totals],
         )
     )
     same = F.col("__slot") == F.col("__ks")
@@ -171,5 +179,8 @@ def exact_percentiles(df: DataFrame, by, value: str, shares: dict[str, float], w
         .withColumn("__cum", F.sum("__n").over(inside))
         .where(F.col("__cum") >= F.col("__need"))
         .groupBy(*by)
-        .agg(*[F.min(F.when(F.col("__name") == n, F.col("__v"))).alias(n) for n in shares])
+        .agg(
+            *[F.max(f"__{name}_all").alias(name) for name in totals],
+            *[F.min(F.when(F.col("__name") == n, F.col("__v"))).alias(n) for n in shares],
+        )
     )

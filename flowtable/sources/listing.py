@@ -2,22 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-LISTING_SCHEMA = "path string, length bigint, modified timestamp"
+from flowtable.session import new_path
+
+_FOUND = "path string, folder boolean, length bigint, modified timestamp"
+
+
+def _list_folder(uri: str) -> list[tuple]:
+    """What lies directly in one folder; nothing if it does not exist."""
+    store, base = fs.FileSystem.from_uri(uri) if ":" in uri else (fs.LocalFileSystem(), uri)
+    inside = store.get_file_info(fs.FileSelector(base, allow_not_found=True))
+    return [
+        (f"{uri.rstrip('/')}/{i.base_name}", i.type == fs.FileType.Directory, i.size or 0, i.mtime) for i in inside
+    ]
+
+
+def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for uri in pdf["path"]:
+            yield pd.DataFrame(_list_folder(uri), columns=["path", "folder", "length", "modified"])
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """All regular files below `root`: path, length, modified. Empty when there is no such folder.
+    """All regular files below `root`, empty ones too: path, length, modified.
 
-    Contents are not read. As everywhere in Spark, names starting with `_` or `.` are skipped.
+    Empty when there is no such folder. The folders of each depth are listed by many tasks
+    (Spark's own file sources leave out empty files, which here are markers), and contents
+    are not read. `root` is a URI, or a path on a file system every machine shares.
     """
-    try:
-        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], LISTING_SCHEMA)
-    return found.select("path", "length", F.col("modificationTime").alias("modified"))
+    store = new_path(spark, "listing")
+    folders, depth = spark.createDataFrame([(root,)], "path string"), 0
+    while not folders.isEmpty():
+        level = f"{store}/depth={depth}"
+        spread = folders.repartition(spark.sparkContext.defaultParallelism, "path")
+        spread.mapInPandas(_list_folders, _FOUND).write.parquet(level)
+        folders, depth = spark.read.schema(_FOUND).parquet(level).where("folder").select("path"), depth + 1
+    found = spark.read.schema(_FOUND).option("basePath", store).parquet(store)
+    return found.where("not folder").select("path", "length", "modified")

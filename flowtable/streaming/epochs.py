@@ -11,7 +11,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from flowtable.functions.common import names
 from flowtable.session import new_path
-from flowtable.sources.listing import list_files
 
 START = -1  # the epoch that holds what was there before the stream began
 
@@ -40,8 +39,9 @@ def read_all(spark: SparkSession, root: str, schema) -> DataFrame:
 
 def last_epoch(spark: SparkSession, root: str, before: int | None = None) -> int:
     """Highest epoch written (below `before`), also when it holds no rows: taken from the file names."""
-    epoch = F.regexp_extract("path", r"/epoch=(-?\d+)/", 1).cast("bigint")
-    epochs = list_files(spark, root).select(epoch.alias("epoch"))
+    # Listing only: no content column is asked for. Parquet files are never empty files.
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    epochs = files.select(F.regexp_extract("path", r"/epoch=(-?\d+)/", 1).cast("bigint").alias("epoch"))
     if before is not None:
         epochs = epochs.where(F.col("epoch") < before)
     return epochs.select(F.max("epoch")).first()[0]
