@@ -56,10 +56,9 @@ def each_batch(
     sdf: DataFrame,
     handle: Callable[[DataFrame, int], None],
     checkpoint: str,
-    output_mode: str = "append",
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Start a query that hands every non-empty micro-batch to `handle`.
+    """Start a query that hands every non-empty micro-batch to `handle`, which may use it repeatedly.
 
     `checkpoint` belongs in the shared folder. The default trigger drains what is there.
     """
@@ -67,16 +66,20 @@ def each_batch(
     def guarded(batch: DataFrame, epoch: int) -> None:
         batch.persist()
         try:
-            if not batch.isEmpty():
+            if batch.count():  # reads the batch once, into the cache
                 handle(batch, epoch)
         finally:
             batch.unpersist()
 
+    return _start(sdf, guarded, checkpoint, "append", trigger)
+
+
+def _start(sdf, handle, checkpoint: str, output_mode: str, trigger: dict | None) -> StreamingQuery:
     return (
         sdf.writeStream.outputMode(output_mode)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
-        .foreachBatch(guarded)
+        .foreachBatch(handle)
         .start()
     )
 
@@ -105,7 +108,7 @@ def drain_updates(sdf: DataFrame, keys, label: str) -> DataFrame:
     """Run an update-mode stream over what is there; the last row of every key remains."""
     spark, keys = sdf.sparkSession, names(keys)
     root = new_path(spark, label)
-    finish(each_batch(sdf, lambda b, e: write_epoch(b, f"{root}/data", e), f"{root}/checkpoint", "update"))
+    finish(_start(sdf, lambda b, e: write_epoch(b, f"{root}/data", e), f"{root}/checkpoint", "update", None))
     rows = [c for c in sdf.columns if c not in keys]
     latest = F.max(F.struct("epoch", *rows)).alias("__r")
     return (
