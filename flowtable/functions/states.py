@@ -70,13 +70,17 @@ def clean_state(raw) -> Column:
     return F.regexp_replace(F.regexp_replace(first_line, r"^\s+|\s+$", ""), r"\++$", "")
 
 
-def state_category(state, scheduler: str) -> Column:
-    """INCOMPLETE, SUCCEEDED or FAILED; UNKNOWN for a state the scheduler does not have."""
-    category = None
-    s = col(state)
-    by_category: dict[str, list[str]] = {}
-    for name, cat in SCHEDULER_STATES[scheduler].items():
-        by_category.setdefault(cat, []).append(name)
-    for cat, members in by_category.items():
-        category = F.when(s.isin(members), cat) if category is None else category.when(s.isin(members), cat)
-    return category.otherwise("UNKNOWN")
+def state_category(state, scheduler) -> Column:
+    """INCOMPLETE, SUCCEEDED or FAILED; UNKNOWN for a state the scheduler does not have.
+
+    `scheduler` is `slurm` or `lsf`, or a column that tells which.
+    """
+    s, category = col(state), F.lit("UNKNOWN")
+    for name, table in SCHEDULER_STATES.items():
+        if isinstance(scheduler, str) and scheduler != name:
+            continue
+        here = F.lit(True) if isinstance(scheduler, str) else scheduler == name
+        for value in ("INCOMPLETE", "SUCCEEDED", "FAILED"):
+            members = [k for k, v in table.items() if v == value]
+            category = F.when(here & s.isin(members), value).otherwise(category)
+    return category

@@ -6,9 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowtable.functions.common import names
+from flowtable.functions.nested import explode_refs
 from flowtable.functions.paths import NONE_SUFFIX, ancestor_dirs, file_name, mount_path, relative_to
 
 
+def declared_outputs(requests: DataFrame, output: str, *keys: str) -> DataFrame:
+    """(keys, path, optional) of every output file anywhere inside the `output` column."""
+    return explode_refs(requests, output, *keys).where(F.col("class") == "output").select(*keys, "path", "optional")
+
+
 def known_paths(manifest: DataFrame) -> DataFrame:
     """One row per path: `is_file` if it exists, `is_none` if its `.none` marker does."""
     marker = f".{NONE_SUFFIX}"

@@ -46,13 +46,14 @@ def submit_log(submits: DataFrame, polls: DataFrame) -> DataFrame:
     )
 
 
-def state_counts(polls: DataFrame, scheduler: str, raw: str = "raw") -> DataFrame:
-    """Polled answers by cleaned state and category; blank answers are BLANK."""
+def state_counts(polls: DataFrame, scheduler: str = "scheduler", raw: str = "raw") -> DataFrame:
+    """Polled answers by scheduler (a column), cleaned state and category; blank answers are BLANK."""
     state = clean_state(raw)
     blank = is_blank(raw)
     return polls.groupBy(
+        F.col(scheduler).alias("scheduler"),
         F.when(blank, "").otherwise(state).alias("state"),
-        F.when(blank, "BLANK").otherwise(state_category(state, scheduler)).alias("category"),
+        F.when(blank, "BLANK").otherwise(state_category(state, F.col(scheduler))).alias("category"),
     ).agg(F.count(F.lit(1)).alias("polls"))
 
 

@@ -21,10 +21,12 @@ def task_map(
     inputs_dir=None,
     outputs_dir=None,
     image_override=None,
+    resources: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """One request per item: image, folders, command, and the named outputs.
 
-    Keeps the item's own columns. `image_override` (a setting) wins over `image`.
+    Keeps the item's own columns. `image_override` (a setting) wins over `image`; `resources`
+    adds what else the step asks for (cpus, memory, disk, time, env).
     """
     chosen = col(image) if isinstance(image, Column) else F.lit(image)
     if image_override is not None:
@@ -36,7 +38,7 @@ def task_map(
         "outputs_dir": F.lit(DEFAULT_OUTPUTS_DIR) if outputs_dir is None else col(outputs_dir),
         "command": F.lit(None).cast("string") if command is None else col(command),
     }
-    return df.withColumns({**added, **outputs})
+    return df.withColumns({**added, **(resources or {}), **outputs})
 
 
 def validate_requests(df: DataFrame, image="image", output="output", inputs_dir="inputs_dir",

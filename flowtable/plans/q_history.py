@@ -138,12 +138,27 @@ g AS (SELECT *, CASE WHEN blank THEN 'BLANK'
     ELSE 'UNKNOWN' END AS category FROM c)"""
 
 
-@query(
-    "state_category",
-    _STATE_SQL + " SELECT CASE WHEN blank THEN '' ELSE state END AS state, category, count(*) AS polls FROM g GROUP BY 1, 2",
-)
+_LSF_SQL = f"""WITH {m.POLLS_SQL}, s AS (
+  SELECT CASE WHEN job % 2 = 0 THEN 'slurm' ELSE 'lsf' END AS scheduler, rtrim(trim(split_part(raw, chr(10), 1)), '+') AS state, trim(raw) = '' AS blank FROM polls),
+c AS (SELECT scheduler, blank, CASE WHEN scheduler = 'slurm' THEN state WHEN state = 'RUNNING' THEN 'RUN' WHEN state = 'PENDING' THEN 'PEND'
+    WHEN state = 'COMPLETED' THEN 'DONE' WHEN state = 'FAILED' THEN 'EXIT' ELSE state END AS state FROM s)
+SELECT scheduler, CASE WHEN blank THEN '' ELSE state END AS state,
+  CASE WHEN blank THEN 'BLANK' WHEN state IN ('RUN', 'PEND', 'RUNNING', 'PENDING') THEN 'INCOMPLETE'
+    WHEN state IN ('DONE', 'COMPLETED') THEN 'SUCCEEDED' WHEN state IN ('EXIT', 'FAILED') THEN 'FAILED' ELSE 'UNKNOWN' END AS category,
+  count(*) AS polls FROM c GROUP BY ALL"""
+
+
+@query("state_category", _LSF_SQL)
 def state_category(spark, sf):
-    return j.state_counts(m.polls(m.table(spark, sf, "events")), "slurm")
+    # Odd jobs belong to the other scheduler, which has its own words.
+    words = {"RUNNING": "RUN", "PENDING": "PEND", "COMPLETED": "DONE", "FAILED": "EXIT"}
+    raw = F.col("raw")
+    for slurm, lsf in words.items():
+        raw = F.regexp_replace(raw, slurm, lsf)
+    polls = m.polls(m.table(spark, sf, "events"))
+    even = F.col("job") % 2 == 0
+    both = polls.select(F.when(even, "slurm").otherwise("lsf").alias("scheduler"), F.when(even, F.col("raw")).otherwise(raw).alias("raw"))
+    return j.state_counts(both)
 
 
 OUTCOME_SQL = (
