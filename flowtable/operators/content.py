@@ -11,7 +11,7 @@ from flowtable.functions.paths import file_name, stem
 
 def base64_text(text) -> Column:
     """Base64 of the UTF-8 bytes on one line (Spark itself breaks it every 76 characters)."""
-    return F.translate(F.base64(F.encode(col(text), "utf-8")), "\r\n", "")
+    return F.replace(F.base64(F.encode(col(text), "utf-8")), F.lit("\r\n"), F.lit(""))
 
 
 def content_stages(docs: DataFrame, path: str = "path", text: str = "text") -> DataFrame:

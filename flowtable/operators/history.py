@@ -136,29 +136,26 @@ def status_doc(runs: DataFrame, task_runs: DataFrame, part_size: int = 10_000, l
         executions_col.alias("executions"),
     )
     slim = task_runs.select("run_id", "id", entry.alias("__entry"))
-    parts = (
-        with_position(slim, "run_id", "id", "pos", limit)
-        .groupBy("run_id", F.floor((F.col("pos") - 1) / part_size).cast("bigint").alias("part"))
-        .agg(F.sort_array(F.collect_list(F.struct("pos", "__entry"))).alias("__entries"))
+    numbered = with_position(slim, "run_id", "id", "pos", limit).select(
+        "run_id",
+        F.floor((F.col("pos") - 1) / part_size).cast("bigint").alias("part"),
+        F.struct("pos", "__entry").alias("__e"),
     )
+    # Every run has a first part, with or without task runs (collecting leaves the null out).
+    first = runs.select("run_id", F.lit(0).cast("bigint").alias("part"), F.lit(None).cast(numbered.schema["__e"].dataType).alias("__e"))
+    parts = numbered.unionByName(first).groupBy("run_id", "part").agg(F.sort_array(F.collect_list("__e")).alias("__entries"))
     header = F.struct(
         F.col("workflow_name").alias("workflowName"),
         F.col("start_time").alias("startTime"),
         F.col("completed_successfully").alias("completedSuccessfully"),
         F.col("completed_time").alias("completedTime"),
     )
-    none = F.array().cast(task_entries_type(slim))
-    entries = F.coalesce(F.transform("__entries", lambda e: e["__entry"]), none)
+    entries = F.transform("__entries", lambda e: e["__entry"])
     doc = F.to_json(
         F.struct(header.alias("workflowRunStatus"), entries.alias("taskRunStatuses")), {"ignoreNullFields": "false"}
     )
-    return runs.join(parts, "run_id", "left").select(
-        "run_id", F.coalesce("part", F.lit(0)).cast("bigint").alias("part"), doc.alias("doc")
-    )
-
-
-def task_entries_type(slim: DataFrame) -> str:
-    return f"array<{slim.schema['__entry'].dataType.simpleString()}>"
+    # An inner join, so that the parts of a huge run may be split over tasks.
+    return parts.join(runs, "run_id").select("run_id", "part", doc.alias("doc"))
 
 
 def fold_events(events: DataFrame) -> DataFrame:

@@ -82,7 +82,7 @@ def _position_by_range(df: DataFrame, by: list[str], order: list[str], pos: str)
 
 
 def trailing_count(
-    df: DataFrame, by, order, flag: Column, rows: int, out: str, limit: int | None = None, chunk: int = 1_000_000
+    df: DataFrame, by, order, flag: Column, rows: int, out: str, limit: int | None = None, chunk: int = 100_000
 ) -> DataFrame:
     """How many of the last `rows` rows of the same key (this one included) have `flag`.
 

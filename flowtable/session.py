@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 SHARED_DIR_CONF = "spark.checkpoint.dir"
 SINGLE_TASK_BYTES_CONF = "spark.flowtable.singleTaskBytes"
-DEFAULT_SINGLE_TASK_BYTES = 64 * 1024 * 1024
+DEFAULT_SINGLE_TASK_BYTES = 16 * 1024 * 1024
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -52,12 +52,9 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
 
 def plan_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate, or None when it cannot be had. Starts no job."""
-    try:
-        stats = df._jdf.queryExecution().optimizedPlan().stats()
-        return int(stats.sizeInBytes().toString())
-    except AttributeError:
-        return None
+    """Catalyst's size estimate, or None where the session does not offer it. Starts no job."""
+    plan = getattr(df, "_jdf", None)
+    return None if plan is None else int(plan.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def fits_one_task(df: DataFrame, limit: int | None = None) -> bool:
