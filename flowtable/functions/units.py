@@ -31,12 +31,12 @@ def parse_capacity(text, strict: bool = False) -> Column:
     upper = F.upper(col(text))
     number = F.regexp_extract(upper, pattern, 1)
     unit = F.regexp_extract(upper, pattern, 2)
-    return (number.try_cast("double") * _unit_factor(unit)).cast("bigint")
+    return (number.try_cast("double") * _unit_factor(unit)).try_cast("bigint")
 
 
 def to_bytes(value, unit: str) -> Column:
-    """A number in `unit` as whole bytes, truncated."""
-    return (col(value).cast("double") * F.lit(float(UNIT_BYTES[unit]))).cast("bigint")
+    """A number in `unit` as whole bytes, truncated; null beyond the largest long."""
+    return (col(value).cast("double") * F.lit(float(UNIT_BYTES[unit]))).try_cast("bigint")
 
 
 def from_bytes(value, unit: str) -> Column:
@@ -53,7 +53,7 @@ _MS = {"days": 86_400_000, "hours": 3_600_000, "minutes": 60_000}
 
 def duration_ms(value, unit: str) -> Column:
     """Milliseconds of a number of days, hours or minutes; the number is truncated first."""
-    return col(value).cast("bigint") * F.lit(_MS[unit]).cast("bigint")
+    return F.try_multiply(col(value).try_cast("bigint"), F.lit(_MS[unit]).cast("bigint"))
 
 
 def parse_parallelism(text) -> Column:
@@ -64,20 +64,22 @@ def parse_parallelism(text) -> Column:
 
 
 def duration_text(ms) -> Column:
-    """`3723500` -> `1h2m3.5s`, `0` -> `0s`. Needs a non-negative number."""
-    m = col(ms)
+    """`3723500` -> `1h2m3.5s`, `0` -> `0s`; every part of a negative duration has its minus."""
+    m = F.abs(col(ms))
+    sign = F.when(col(ms) < 0, "-").otherwise("")
     hours = F.floor(m / 3_600_000)
     minutes = F.floor(m % 3_600_000 / 60_000)
     rest = m % 60_000
     seconds = F.floor(rest / 1000)
     millis = rest % 1000
     fraction = F.regexp_replace(F.lpad(millis.cast("string"), 3, "0"), "0+$", "")
+    part = lambda cond, *pieces: F.when(cond, F.concat(sign, *pieces)).otherwise("")
+    whole = (millis == 0) & ((seconds > 0) | (m == 0))
     return F.concat(
-        F.when(hours > 0, F.concat(hours.cast("string"), F.lit("h"))).otherwise(""),
-        F.when(minutes > 0, F.concat(minutes.cast("string"), F.lit("m"))).otherwise(""),
-        F.when(millis > 0, F.concat(seconds.cast("string"), F.lit("."), fraction, F.lit("s")))
-        .when((seconds > 0) | (m < 60_000), F.concat(seconds.cast("string"), F.lit("s")))
-        .otherwise(""),
+        part(hours > 0, hours.cast("string"), F.lit("h")),
+        part(minutes > 0, minutes.cast("string"), F.lit("m")),
+        part(millis > 0, seconds.cast("string"), F.lit("."), fraction, F.lit("s")),
+        part(whole, seconds.cast("string"), F.lit("s")),
     )
 
 

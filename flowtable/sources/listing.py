@@ -36,11 +36,12 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     are not read. `root` is a URI, or a path on a file system every machine shares.
     """
     store = new_path(spark, "listing")
-    folders, depth = spark.createDataFrame([(root,)], "path string"), 0
-    while not folders.isEmpty():
+    folders, waiting, depth = spark.createDataFrame([(root,)], "path string"), 1, 0
+    while waiting:
         level = f"{store}/depth={depth}"
-        spread = folders.repartition(spark.sparkContext.defaultParallelism, "path")
+        spread = folders.repartition(min(waiting, 4 * spark.sparkContext.defaultParallelism), "path")
         spread.mapInPandas(_list_folders, _FOUND).write.parquet(level)
-        folders, depth = spark.read.schema(_FOUND).parquet(level).where("folder").select("path"), depth + 1
+        folders = spark.read.schema(_FOUND).parquet(level).where("folder").select("path")
+        waiting, depth = folders.count(), depth + 1
     found = spark.read.schema(_FOUND).option("basePath", store).parquet(store)
     return found.where("not folder").select("path", "length", "modified")
