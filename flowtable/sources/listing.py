@@ -2,32 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from flowtable.session import new_path
 
 _FOUND = "path string, folder boolean, length bigint, modified timestamp"
 
 
-def _list_folder(uri: str) -> list[tuple]:
-    """What lies directly in one folder; nothing if it does not exist."""
-    store, base = fs.FileSystem.from_uri(uri) if ":" in uri else (fs.LocalFileSystem(), uri)
-    inside = store.get_file_info(fs.FileSelector(base, allow_not_found=True))
-    return [
-        (f"{uri.rstrip('/')}/{i.base_name}", i.type == fs.FileType.Directory, i.size or 0, i.mtime) for i in inside
-    ]
-
-
-def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for uri in pdf["path"]:
-            yield pd.DataFrame(_list_folder(uri), columns=["path", "folder", "length", "modified"])
-
-
 def list_files(spark: SparkSession, root: str) -> DataFrame:
     """All regular files below `root`, empty ones too: path, length, modified.
 
@@ -35,12 +19,30 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     (Spark's own file sources leave out empty files, which here are markers), and contents
     are not read. `root` is a URI, or a path on a file system every machine shares.
     """
+    schema = pa.schema(
+        [("path", pa.string()), ("folder", pa.bool_()), ("length", pa.int64()), ("modified", pa.timestamp("us", "UTC"))]
+    )
+
+    # Defined here so that it travels by value: executors need not have this package.
+    def list_folders(batches):
+        for batch in batches:
+            for uri in batch.column("path").to_pylist():
+                store, base = fs.FileSystem.from_uri(uri) if ":" in uri else (fs.LocalFileSystem(), uri)
+                inside = store.get_file_info(fs.FileSelector(base, allow_not_found=True))
+                found = {
+                    "path": [f"{uri.rstrip('/')}/{i.base_name}" for i in inside],
+                    "folder": [i.type == fs.FileType.Directory for i in inside],
+                    "length": [i.size or 0 for i in inside],
+                    "modified": [i.mtime for i in inside],
+                }
+                yield pa.RecordBatch.from_pydict(found, schema)
+
     store = new_path(spark, "listing")
-    folders, waiting, depth = spark.createDataFrame([(root,)], "path string"), 1, 0
+    folders, waiting, depth = spark.range(1).select(F.lit(root).alias("path")), 1, 0
     while waiting:
         level = f"{store}/depth={depth}"
         spread = folders.repartition(min(waiting, 4 * spark.sparkContext.defaultParallelism), "path")
-        spread.mapInPandas(_list_folders, _FOUND).write.parquet(level)
+        spread.mapInArrow(list_folders, _FOUND).write.parquet(level)
         folders = spark.read.schema(_FOUND).parquet(level).where("folder").select("path")
         waiting, depth = folders.count(), depth + 1
     found = spark.read.schema(_FOUND).option("basePath", store).parquet(store)
