@@ -13,11 +13,13 @@ from flowtable.operators.history import status_doc
 from flowtable.operators.tasks import flat_items, lookup_strict, merge_as_json, task_map, validate_requests
 from flowtable.plans import model as m
 from flowtable.plans.registry import query
+from flowtable.plans.run import run_step
 from flowtable.plans.workflow import Workflow
 from flowtable.session import new_path
 from flowtable.sources.items import items
 from flowtable.sources.listing import list_files
 from flowtable.sources.outputs import write_outputs, write_status
+from flowtable.sources.store import Store
 
 
 @query("src_items", "SELECT doc_id AS item, lang, source, n_chars FROM documents")
@@ -94,9 +96,14 @@ FROM docs WHERE doc_id % 11 <> 0"""
 @query("snk_outputs", _STORED_SQL)
 def snk_outputs(spark, sf):
     docs = m.documents(m.table(spark, sf, "documents"))
+    return write_outputs(_produced(docs), m.declared(docs), new_path(spark, "outputs"), "base64")
+
+
+def _produced(docs):
+    """What a step makes of the documents: some files are missing, one is not declared."""
     i = F.col("item_id")
     file = lambda p, c: F.struct(p.alias("path"), c.alias("content"))
-    produced = docs.select(
+    return docs.select(
         "item_id",
         F.inline(
             F.array_compact(
@@ -108,7 +115,23 @@ def snk_outputs(spark, sf):
             )
         ),
     )
-    return write_outputs(produced, m.declared(docs), new_path(spark, "outputs"), "base64")
+
+
+@query(
+    "step_rerun",
+    """SELECT doc_id AS item_id, CASE WHEN doc_id % 11 = 0 OR doc_id % 13 = 0 THEN 'run' ELSE 'skip' END AS action,
+  CASE WHEN doc_id % 11 <> 0 AND doc_id % 13 = 0 THEN 'lost' ELSE 'done' END AS outcome FROM documents""",
+)
+def step_rerun(spark, sf):
+    # The same step twice: the second time only what is missing or undeclared runs.
+    docs = m.documents(m.table(spark, sf, "documents"))
+    store = Store(spark, new_path(spark, "store"))
+    run_step(store, "base64", docs, m.declared, _produced, run_id=1, grouping=100)
+    again = run_step(store, "base64", docs, m.declared, _produced, run_id=2, grouping=100)
+    lost = again.lost.select("item_id", F.lit("lost").alias("outcome"))
+    return again.planned.join(lost, "item_id", "left").select(
+        "item_id", "action", F.coalesce("outcome", F.lit("done")).alias("outcome")
+    )
 
 
 _DOC_SQL = f"""WITH {m.TASK_RUNS_SQL}, {m.RUNS_SQL}, entries AS (

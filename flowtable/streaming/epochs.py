@@ -30,21 +30,19 @@ def read_before(spark: SparkSession, root: str, schema, epoch: int) -> DataFrame
 
 
 def read_epoch(spark: SparkSession, root: str, schema, epoch: int) -> DataFrame:
-    return read_all(spark, root, schema).where(F.col("epoch") == epoch).drop("epoch")
+    """Rows of one epoch, without listing the others."""
+    return spark.read.schema(schema).parquet(f"{root}/epoch={epoch}")
 
 
 def read_all(spark: SparkSession, root: str, schema) -> DataFrame:
     return spark.read.schema(_with_epoch(schema)).option("basePath", root).parquet(root)
 
 
-def last_epoch(spark: SparkSession, root: str, before: int | None = None) -> int:
-    """Highest epoch written (below `before`), also when it holds no rows: taken from the file names."""
+def last_epoch(spark: SparkSession, root: str) -> int:
+    """Highest epoch written, also when it holds no rows: taken from the file names."""
     # Listing only: no content column is asked for. Parquet files are never empty files.
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    epochs = files.select(F.regexp_extract("path", r"/epoch=(-?\d+)/", 1).cast("bigint").alias("epoch"))
-    if before is not None:
-        epochs = epochs.where(F.col("epoch") < before)
-    return epochs.select(F.max("epoch")).first()[0]
+    return files.select(F.max(F.regexp_extract("path", r"/epoch=(-?\d+)/", 1).cast("bigint"))).first()[0]
 
 
 def _with_epoch(schema):
@@ -57,16 +55,20 @@ def each_batch(
     handle: Callable[[DataFrame, int], None],
     checkpoint: str,
     trigger: dict | None = None,
+    skip_empty: bool = False,
 ) -> StreamingQuery:
-    """Start a query that hands every non-empty micro-batch to `handle`, which may use it repeatedly.
+    """Start a query that hands every micro-batch to `handle`, which may use it repeatedly.
 
-    `checkpoint` belongs in the shared folder. The default trigger drains what is there.
+    Micro-batches are numbered without gaps, so the state `handle` left last is that of the
+    epoch before. `checkpoint` belongs in the shared folder. The default trigger drains what
+    is there.
     """
 
     def guarded(batch: DataFrame, epoch: int) -> None:
         batch.persist()
         try:
-            if batch.count():  # reads the batch once, into the cache
+            # Counting reads the batch once, into the cache.
+            if batch.count() or not skip_empty:
                 handle(batch, epoch)
         finally:
             batch.unpersist()

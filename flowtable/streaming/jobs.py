@@ -29,7 +29,7 @@ def stream_job_outcome(
     def handle(batch: DataFrame, epoch: int) -> None:
         here = batch.sparkSession
         done = read_before(here, done_at, DONE_SCHEMA, epoch).select("job")
-        still_open = read_epoch(here, open_at, OPEN_SCHEMA, last_epoch(here, open_at, before=epoch))
+        still_open = read_epoch(here, open_at, OPEN_SCHEMA, epoch - 1)
         # Earlier blank answers come back as blank polls before the new ones.
         earlier = still_open.where("blanks > 0").select(
             "job",

@@ -43,4 +43,4 @@ def stream_report(
     def handle(batch: DataFrame, epoch: int) -> None:
         write_epoch(batch.groupBy("run_id", "status").agg(F.count(F.lit(1)).alias("n")), f"{root}/reports", epoch)
 
-    return each_batch(task_events, handle, f"{root}/checkpoint", trigger=when)
+    return each_batch(task_events, handle, f"{root}/checkpoint", trigger=when, skip_empty=True)
