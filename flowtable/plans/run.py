@@ -22,7 +22,7 @@ from flowtable.sources.store import Store
 @dataclass(frozen=True)
 class StepResult:
     """`done`: items that flow on (run or skipped); `lost`: items with a missing output or
-    whose step raised; `planned`: every item with its action; `error`: what the step raised."""
+    whose step raised; `planned`: every item's key and action; `error`: what the step raised."""
 
     done: DataFrame
     lost: DataFrame
@@ -43,7 +43,8 @@ def run_step(
     force: bool = False,
     execution: Column | None = None,
 ) -> StepResult:
-    """Run `task` over `items` (one row per `item`), and keep its outputs in `store`.
+    """Run `task` over `items` (one row per `item`, the same at every read), and keep its
+    outputs in `store`.
 
     `declare` maps items to (item, path, optional), `run` maps the items that must run to
     (item, path, content). Items whose outputs are all there are skipped, and flow on. The
@@ -52,20 +53,21 @@ def run_step(
     items it ran, not the skipped ones and not the other steps.
     """
     version, started = store.next_version(), _now()
-    # Written once: what must run is decided before the outputs change.
-    planned = materialise(plan_skips(items, declare(items), store.manifest(), item, force), "plan")
-    todo = planned.where(F.col("action") == "run").drop("action")
+    keys = names(item)
+    # Written once, before the outputs change; keys only, so skipped items are not copied.
+    planned = materialise(plan_skips(items.select(*keys), declare(items), store.manifest(), item, force), "plan")
+    todo = items.join(planned.where(F.col("action") == "run").select(*keys), keys, "left_semi")
     error = None
     try:
         files = write_outputs(run(todo), declare(todo), store.path("files", version), task, item)
-        missing = files.where(F.col("status") == "missing").select(*names(item)).distinct()
+        missing = files.where(F.col("status") == "missing").select(*keys).distinct()
     except Exception as e:  # noqa: BLE001 - a failing step is an outcome, not the end of the run
         error = f"{type(e).__name__}: {e}"
-        missing = todo.select(*names(item))
-    lost = todo.join(missing, names(item), "left_semi")
+        missing = planned.where(F.col("action") == "run").select(*keys)
     _record(store, version, task, todo, missing, item, run_id, grouping, execution, started, error)
-    done = planned.drop("action").join(missing, names(item), "left_anti")
-    return StepResult(done, lost, planned, error)
+    return StepResult(
+        items.join(missing, keys, "left_anti"), items.join(missing, keys, "left_semi"), planned, error
+    )
 
 
 def _record(store, version, task, todo, missing, item, run_id, grouping, execution, started, error) -> None:
