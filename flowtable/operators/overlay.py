@@ -50,7 +50,9 @@ def match_layers(entities: DataFrame, settings: DataFrame) -> DataFrame:
     layers = _layers(settings)
     # Every entity has the default key: its layer is one row, so it travels to the entities.
     default = F.broadcast(layers.where(F.col("key") == DEFAULT_KEY))
-    shared = entities.select("name", F.lit(DEFAULT_KEY).alias("key"), F.lit(0).alias("rank")).join(default, "key")
+    # (Exploded, for Catalyst would turn a join on a plain constant into a nested loop.)
+    own_default = F.explode(F.array(F.lit(DEFAULT_KEY))).alias("key")
+    shared = entities.select("name", own_default, F.lit(0).alias("rank")).join(default, "key")
     rest = _entity_keys(entities).join(layers.where(F.col("key") != DEFAULT_KEY), "key")
     layer = F.when(F.col("rank") == 0, _RANKS[0]).when(F.col("rank") == 1, _RANKS[1]).otherwise(_RANKS[2])
     matched = shared.unionByName(rest).withColumn("layer", layer)
