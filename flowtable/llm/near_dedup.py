@@ -1,8 +1,9 @@
 """Near duplicates by improved consistent weighted sampling.
 
 A text is the bag of its five-word shingles (fewer words: one shingle of them all). A shingle weighs
-its count times the mean inverse document frequency of its words: frequencies of single words, not of
-shingles, since a group of copies would make its own shingles common and so weigh its edits up.
+its count times the mean inverse document frequency of its words, smoothed and under a square root:
+frequencies of single words, not of shingles, since a group of copies would make its own shingles
+common and so weigh its edits up; damped, so that 0.8 means about what it means without weights.
 Document frequencies are counted over all documents, in `BUCKETS` hash buckets.
 
 1. Each text gets `BANDS` x `ROWS` consistent weighted samples; two texts agree on one with the
@@ -22,12 +23,11 @@ digits and non-ASCII bytes. Empty table: no rows.
 from __future__ import annotations
 
 import functools
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowtable.llm.common import stored
@@ -165,7 +165,7 @@ def portions(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[p
 
 
 def rarity(texts: DataFrame) -> np.ndarray:
-    """Inverse document frequencies of the word buckets, ln(1 + N / df), over all rows of `texts`."""
+    """sqrt(1 + ln((1 + N) / (1 + df))) of the word buckets, over all rows of `texts`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, rows = np.zeros(BUCKETS, "i8"), 0
@@ -185,7 +185,7 @@ def rarity(texts: DataFrame) -> np.ndarray:
             total = n
         else:
             df[bucket] = n
-    return np.log1p(max(1, total) / np.maximum(1, df)).astype("f4")
+    return np.sqrt(1 + np.log((1 + total) / (1 + np.minimum(df, total)))).astype("f4")
 
 
 def linked(codes: np.ndarray) -> tuple[list[tuple[int, int]], list[int]]:
@@ -327,12 +327,16 @@ def components(edges: DataFrame) -> DataFrame:
         mark = after
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (the least id of its class), text_id (the least id with this text), class_texts
-    (different texts in the class) and similar (verified links of this text) for every row of `docs`."""
+def key_of(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
+def grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, t (the text's key), root (the class's key), text_id, class_id, class_texts, similar for
+    every row of `docs`."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    named = rows.select("doc_id", F.md5(F.col("text").cast("binary")).alias("t"), "text")
+    named = rows.select("doc_id", key_of(F.col("text")).alias("t"), "text")
     idf = spark.sparkContext.broadcast(rarity(rows))  # BUCKETS numbers
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,13 +358,20 @@ def classes(docs: DataFrame) -> DataFrame:
     known = unique.select("t", "text_id").join(roots, "t", "left").join(ends, "t", "left")
     known = stored(known.select("t", "text_id", F.coalesce("root", "t").alias("root"), F.coalesce("similar", F.lit(0)).alias("similar")), "near-known")
     least = stored(known.groupBy("root").agg(F.min("text_id").alias("class_id"), F.count("*").alias("class_texts")), "near-classes")
-    full = stored(known.join(least, "root").select("t", "text_id", "class_id", "class_texts", "similar"), "near-full")
-    return drawn.select("doc_id", "t").join(full, "t").select("doc_id", "class_id", "text_id", "class_texts", "similar")
+    full = stored(known.join(least, "root"), "near-full")
+    return drawn.select("doc_id", "t").join(full, "t")
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id (the least id of its class), text_id (the least id with this text), class_texts
+    (different texts in the class) and similar (verified links of this text) for every row of `docs`."""
+    return grouped(docs).select("doc_id", "class_id", "text_id", "class_texts", "similar")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One row of each class, the one with the least id, with all its columns. Of rows that repeat an id
-    with texts of one class, one stays."""
-    found = stored(classes(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id")) | F.col("class_id").isNull()).select(F.col("doc_id").alias("__id")).distinct(), "near-kept")
-    kept = docs.withColumn("__key", F.col("doc_id").cast("long")).join(found, F.col("__key").eqNullSafe(F.col("__id")), "left_semi")
-    return kept.drop("__key")
+    """One row of each class, the one with the least id (then text key), with all its columns."""
+    row = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("none")), "t")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row.alias("row")))
+    found = stored(grouped(docs).groupBy("root").agg(first.alias("first")).select(F.col("first.row").alias("__row")), "near-kept")
+    rows = docs.withColumn("__row", F.concat_ws("|", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("none")), key_of(F.col("text"))))
+    return rows.join(found, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")

@@ -23,9 +23,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import pandas_udf
 
 from flowtable.llm.common import held_out, uniform
 
@@ -210,9 +212,6 @@ def keep_clean(docs: DataFrame, model: Model | None) -> DataFrame:
     """The rows of `docs` whose text scores below the threshold, with all their columns."""
     if model is None:
         return docs
-    from pyspark.sql.pandas.functions import pandas_udf
-    import pandas as pd
-
     @pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
         near = shared(model)
