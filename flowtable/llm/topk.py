@@ -171,8 +171,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: float = 256.0, key: s
     asked = rows.where("asks").repartition(blocks, deal).select("id", "v")
     asked = stored(asked.mapInArrow(packs(lambda i, m: (i, m), block, "queries"), "queries binary"), "query-blocks")
     # A cell: one block of queries, one group of trees; both of bounded size.
-    left = trees.select("tree", F.pmod(F.xxhash64("tree"), F.lit(groups)).alias("g"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
-    right = asked.select("queries", F.pmod(F.xxhash64("queries"), F.lit(blocks)).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
+    left = trees.select("tree", F.pmod(F.xxhash64("tree"), F.lit(groups)).cast("int").alias("g"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
+    right = asked.select("queries", F.pmod(F.xxhash64("queries"), F.lit(blocks)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
 
     def walk(_key, some_trees: pd.DataFrame, some_queries: pd.DataFrame) -> pd.DataFrame:
         flat: list[tuple[int, int, int]] = []
