@@ -61,7 +61,8 @@ def workflow_status(succeeded, completed_time) -> Column:
 
 
 def is_blank(raw) -> Column:
-    return col(raw).rlike(r"^\s*$")
+    """No answer (null) is a blank one."""
+    return F.coalesce(col(raw), F.lit("")).rlike(r"^\s*$")
 
 
 def clean_state(raw) -> Column:

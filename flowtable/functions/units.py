@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from flowtable.functions.common import col
 
+# Fixed value: what a capacity text looks like.
+CAPACITY_PATTERN = r"(\d+)\s*([KMGT]?B)"
 # Units are powers of 1024; an unlimited task counts as this many slots.
 UNIT_BYTES = {"B": 1, "KB": 1024, "MB": 1024**2, "GB": 1024**3, "TB": 1024**4}
 UNLIMITED_SLOTS = 262144
@@ -25,7 +27,7 @@ def parse_capacity(text, strict: bool = False) -> Column:
     The default finds the first number-and-unit anywhere (`1.5GB` reads as 5 GB, as the
     original behaviour is); `strict` wants the whole text to be one.
     """
-    pattern = r"(\d+)\s*([KMGT]?B)"
+    pattern = CAPACITY_PATTERN
     if strict:
         pattern = r"^\s*" + pattern + r"\s*$"
     upper = F.upper(col(text))

@@ -38,28 +38,27 @@ def stem_collisions(df: DataFrame, path: str) -> DataFrame:
 
 
 def object_urls(df: DataFrame, url: str, scheme: str = "gs") -> tuple[DataFrame, DataFrame]:
-    """(rows with bucket, object and file; rows that are no such URL)."""
+    """(rows with bucket, object and file; rows that are no such URL). Each side parses by itself."""
     split = df.withColumn("__url", url_parts(url, scheme))
     good = split.where(F.col("__url").isNotNull()).select(*df.columns, "__url.*")
     return good, split.where(F.col("__url").isNull()).drop("__url")
 
 
-def object_inventory(df: DataFrame, url: str, scheme: str = "gs") -> tuple[DataFrame, DataFrame]:
-    """Objects per bucket with how many URLs rebuild exactly, and the quarantined rows."""
-    good, bad = object_urls(df, url, scheme)
-    same = url_join("bucket", "object", scheme=scheme) == col(url)
-    counts = good.groupBy("bucket").agg(
+def object_inventory(df: DataFrame, url: str, scheme: str = "gs") -> DataFrame:
+    """Objects per bucket with how many URLs rebuild exactly; rows that are no such URL under a null bucket."""
+    split = df.withColumn("__url", url_parts(url, scheme))
+    same = url_join("__url.bucket", "__url.object", scheme=scheme) == col(url)
+    return split.groupBy(F.col("__url.bucket").alias("bucket")).agg(
         F.count(F.lit(1)).alias("objects"), F.count(F.when(same, 1)).alias("round_trips")
     )
-    return counts, bad
 
 
 def normalize_resources(
     df: DataFrame, capacity: str, time: str, time_unit: str, parallelism: str, strict: bool = False
-) -> tuple[DataFrame, DataFrame]:
-    """Add bytes, ms and slots; rows in which one of them does not parse are quarantined with why."""
+) -> DataFrame:
+    """Add bytes, ms and slots, and in `violations` which of them do not parse."""
     par = parse_parallelism(parallelism)
-    parsed = df.withColumns(
+    return df.withColumns(
         {
             "bytes": parse_capacity(capacity, strict),
             "ms": duration_ms(time, time_unit),
@@ -75,17 +74,17 @@ def normalize_resources(
             )
         ),
     )
+def resource_totals(normalized: DataFrame, by) -> DataFrame:
+    """Totals per key of the clean rows (kind `ok`), and counts of the others by what is wrong with them."""
     clean = F.size("violations") == 0
-    return parsed.where(clean).drop("violations"), parsed.where(~clean).drop("bytes", "ms", "slots")
-
-
-def resource_totals(good: DataFrame, by) -> DataFrame:
-    return good.groupBy(*names(by)).agg(
+    kind = F.when(clean, "ok").otherwise(F.concat_ws(",", "violations"))
+    of = lambda c: F.when(clean, F.col(c))
+    return normalized.groupBy(*names(by), kind.alias("kind")).agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum("bytes").alias("total_bytes"),
-        F.max("bytes").alias("max_bytes"),
-        F.sum("ms").alias("total_ms"),
-        F.max("slots").alias("max_slots"),
+        F.sum(of("bytes")).alias("total_bytes"),
+        F.max(of("bytes")).alias("max_bytes"),
+        F.sum(of("ms")).alias("total_ms"),
+        F.max(of("slots")).alias("max_slots"),
     )
 
 

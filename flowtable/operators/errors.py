@@ -14,14 +14,19 @@ from flowtable.functions.common import names
 from flowtable.session import materialise
 
 
+def tried(df: DataFrame, outputs: Mapping[str, Column], error: Column) -> DataFrame:
+    """Apply a step of column expressions and keep all rows: `outputs` are null where `error` is not."""
+    marked = df.withColumns({**outputs, "error": error})
+    return marked.withColumns({name: F.when(F.col("error").isNull(), F.col(name)) for name in outputs})
+
+
 def isolate(df: DataFrame, outputs: Mapping[str, Column], error: Column) -> tuple[DataFrame, DataFrame]:
     """Apply a step of column expressions; return (good rows, quarantined rows).
 
     `error` is a text for a failing row and null for a good one. `outputs` must not throw:
     use the `try_` functions. Both sides are plain filters over the same narrow plan.
     """
-    tried = df.withColumns({**outputs, "error": error})
-    return split_errors(tried, list(outputs))
+    return split_errors(tried(df, outputs, error), list(outputs))
 
 
 def isolate_rows(
@@ -48,9 +53,9 @@ def isolate_rows(
     return split_errors(materialise(df.mapInPandas(run, full), "isolated"), added)
 
 
-def split_errors(tried: DataFrame, added: list[str]) -> tuple[DataFrame, DataFrame]:
-    ok = tried.where(F.col("error").isNull()).drop("error")
-    return ok, tried.where(F.col("error").isNotNull()).drop(*added)
+def split_errors(rows: DataFrame, added: list[str]) -> tuple[DataFrame, DataFrame]:
+    ok = rows.where(F.col("error").isNull()).drop("error")
+    return ok, rows.where(F.col("error").isNotNull()).drop(*added)
 
 
 def spread_batch_errors(items: DataFrame, errors: DataFrame, batch="batch") -> DataFrame:

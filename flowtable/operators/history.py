@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from flowtable.functions.common import col, names
 from flowtable.functions.states import COMPLETED, task_status, workflow_status
 from flowtable.functions.units import duration_text, time_text
-from flowtable.operators.position import distribution, running_peaks, with_position
+from flowtable.operators.position import distribution, running_peaks
+from flowtable.operators.skew import ROWS_PER_SLICE, split_join
 
 STATUSES = {
     "in_progress": "IN_PROGRESS",
@@ -101,12 +102,12 @@ def concurrency(task_runs: DataFrame, by="task_name", slots: Column | None = Non
     return peaks if slots is None else peaks.withColumn("over_limit", F.col("peak") > slots)
 
 
-def run_report(runs: DataFrame, task_runs: DataFrame, as_of) -> DataFrame:
-    """One row per task run with readable times, plus the status of its run."""
+def run_report(runs: DataFrame, task_runs: DataFrame, as_of, rows: int = ROWS_PER_SLICE) -> DataFrame:
+    """One row per task run with readable times, plus the status of its run. A run of more than `rows`
+    task runs is joined in slices."""
     ms = duration_ms(as_of)
-    return with_task_status(task_runs).join(
-        with_workflow_status(runs).select("run_id", "workflow_name", F.col("status").alias("run_status")), "run_id"
-    ).select(
+    header = with_workflow_status(runs).select("run_id", "workflow_name", F.col("status").alias("run_status"))
+    return split_join(with_task_status(task_runs), header, "run_id", rows).select(
         "run_id", "workflow_name", "run_status", "task_name", "id", "status", "start_time",
         time_text("start_time").alias("started"), ms.alias("duration_ms"), duration_text(ms).alias("duration"),
     )
@@ -121,12 +122,8 @@ def executions(task_runs: DataFrame, json_col: str = "executions_json", keep_emp
     )
 
 
-def status_doc(runs: DataFrame, task_runs: DataFrame, part_size: int = 10_000, limit: int | None = None) -> DataFrame:
-    """The status document of each run as JSON: (run_id, part, doc).
-
-    A document lists at most `part_size` task runs, in order of id; a longer run gets more
-    parts, each a valid document, so one huge run is never gathered in one place.
-    """
+def status_entries(task_runs: DataFrame) -> DataFrame:
+    """(run_id, id, entry): what a status document says of each task run, as rows: the form for runs of any size."""
     executions_col = F.col("executions") if "executions" in task_runs.columns else F.array().cast(EXECUTIONS_TYPE)
     entry = F.struct(
         F.col("task_name").alias("taskName"),
@@ -135,27 +132,28 @@ def status_doc(runs: DataFrame, task_runs: DataFrame, part_size: int = 10_000, l
         F.col("completed_time").alias("completedTime"),
         executions_col.alias("executions"),
     )
-    slim = task_runs.select("run_id", "id", entry.alias("__entry"))
-    numbered = with_position(slim, "run_id", "id", "pos", limit).select(
-        "run_id",
-        F.floor((F.col("pos") - 1) / part_size).cast("bigint").alias("part"),
-        F.struct("pos", "__entry").alias("__e"),
-    )
-    # Every run has a first part, with or without task runs (collecting leaves the null out).
-    first = runs.select("run_id", F.lit(0).cast("bigint").alias("part"), F.lit(None).cast(numbered.schema["__e"].dataType).alias("__e"))
-    parts = numbered.unionByName(first).groupBy("run_id", "part").agg(F.sort_array(F.collect_list("__e")).alias("__entries"))
+    return task_runs.select("run_id", "id", entry.alias("entry"))
+
+
+def status_doc(runs: DataFrame, task_runs: DataFrame) -> DataFrame:
+    """The status document of each run as JSON: (run_id, doc), its task runs in order of id.
+
+    A document is one value, so a run must fit into a row; `status_entries` has no such bound.
+    """
+    listed = status_entries(task_runs).groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct("id", "entry"))).alias("__e"))
     header = F.struct(
         F.col("workflow_name").alias("workflowName"),
         F.col("start_time").alias("startTime"),
         F.col("completed_successfully").alias("completedSuccessfully"),
         F.col("completed_time").alias("completedTime"),
     )
-    entries = F.transform("__entries", lambda e: e["__entry"])
+    both = runs.join(listed, "run_id", "left")
+    none = F.array().cast(listed.schema["__e"].dataType)
+    entries = F.transform(F.coalesce("__e", none), lambda e: e["entry"])
     doc = F.to_json(
         F.struct(header.alias("workflowRunStatus"), entries.alias("taskRunStatuses")), {"ignoreNullFields": "false"}
     )
-    # An inner join, so that the parts of a huge run may be split over tasks.
-    return parts.join(runs, "run_id").select("run_id", "part", doc.alias("doc"))
+    return both.select("run_id", doc.alias("doc"))
 
 
 def fold_events(events: DataFrame) -> DataFrame:

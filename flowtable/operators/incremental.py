@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from flowtable.functions.common import names
 from flowtable.functions.nested import explode_refs
 from flowtable.functions.paths import NONE_SUFFIX, ancestor_dirs, file_name, mount_path, relative_to
+from flowtable.operators.skew import ROWS_PER_SLICE, split_join
 
 
 def declared_outputs(requests: DataFrame, output: str, *keys: str) -> DataFrame:
@@ -57,12 +58,18 @@ def existing(df: DataFrame, manifest: DataFrame, path_col: str = "path", negate:
     return df.join(files, df[path_col] == files["__path"], "left_anti" if negate else "left_semi")
 
 
-def directory_files(dirs: DataFrame, manifest: DataFrame, dir_col: str = "dir") -> DataFrame:
-    """(dir, path) for every manifest file below one of the directories, at any depth."""
+def directory_files(
+    dirs: DataFrame, manifest: DataFrame, dir_col: str = "dir", rows: int = ROWS_PER_SLICE
+) -> DataFrame:
+    """(dir, path) for every manifest file below one of the directories, at any depth.
+
+    A directory with more than `rows` files below it is joined in slices.
+    """
     wanted = dirs.select(F.rtrim(F.col(dir_col), F.lit("/")).alias("dir")).distinct()
     # Distinct before the join: afterwards all files of a folder would share one task.
     files = manifest.select("path").distinct()
-    return files.select("path", F.explode(ancestor_dirs("path")).alias("dir")).join(wanted, "dir").select("dir", "path")
+    below = files.select("path", F.explode(ancestor_dirs("path")).alias("dir"))
+    return split_join(below, wanted, "dir", rows).select("dir", "path")
 
 
 def unused_files(listing: DataFrame, referenced: DataFrame) -> DataFrame:

@@ -58,7 +58,7 @@ def state_counts(polls: DataFrame, scheduler: str = "scheduler", raw: str = "raw
 
 
 def job_outcome(
-    polls: DataFrame, scheduler: str, job="job", seq="seq", raw="raw", blank_limit: int = BLANK_LIMIT, limit: int | None = None
+    polls: DataFrame, scheduler: str, job="job", seq="seq", raw="raw", blank_limit: int = BLANK_LIMIT
 ) -> DataFrame:
     """How each job ended: (job, outcome, seq of the deciding poll, polls up to there).
 
@@ -69,7 +69,7 @@ def job_outcome(
     category = state_category(clean_state(raw), scheduler)
     marked = trailing_count(
         polls.select(F.col(job).alias("job"), F.col(seq).alias("seq"), F.when(blank, "BLANK").otherwise(category).alias("__c")),
-        "job", "seq", F.col("__c") == "BLANK", blank_limit, "__blanks", limit,
+        "job", "seq", F.col("__c") == "BLANK", blank_limit, "__blanks",
     )
     ending = (
         F.when(F.col("__blanks") == blank_limit, "NO_ANSWER")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowtable.functions.paths import kebab
+from flowtable.operators.skew import ROWS_PER_SLICE, split_join
 from flowtable.session import materialise
 
 DEFAULT_KEY = "default"
@@ -31,19 +32,18 @@ def _entity_keys(entities: DataFrame) -> DataFrame:
 
 
 def _layers(settings: DataFrame) -> DataFrame:
-    """One row per settings key: its place in the order, and a fingerprint of its leaves."""
-    leaf = lambda seed: F.xxhash64(F.lit(seed), "path", "value")
+    """One row per settings key: its place in the order, and the digest of its distinct leaves."""
+    leaves = F.sort_array(F.collect_set(F.struct("path", "value")))  # of one layer
     return settings.groupBy("key").agg(
-        F.min("layer_seq").alias("seq"),
-        F.struct(
-            F.count(F.lit(1)).alias("leaves"), F.bit_xor(leaf(1)).alias("h1"), F.bit_xor(leaf(2)).alias("h2")
-        ).alias("content"),
+        F.min("layer_seq").alias("seq"), F.sha2(F.to_json(leaves, {"ignoreNullFields": "false"}), 256).alias("content")
     )
 
 
-def match_layers(entities: DataFrame, settings: DataFrame) -> DataFrame:
+def match_layers(entities: DataFrame, settings: DataFrame, rows: int = ROWS_PER_SLICE) -> DataFrame:
     """(name, key, layer, seq): the settings layers that apply to each entity.
 
+    A key that more than `rows` entities answer to is joined in slices.
+
     A key that matches an entity's name counts as its name layer even if a label matches
     too. Label layers with the same content collapse into the first of them.
     """
@@ -53,7 +53,7 @@ def match_layers(entities: DataFrame, settings: DataFrame) -> DataFrame:
     # (Exploded, for Catalyst would turn a join on a plain constant into a nested loop.)
     own_default = F.explode(F.array(F.lit(DEFAULT_KEY))).alias("key")
     shared = entities.select("name", own_default, F.lit(0).alias("rank")).join(default, "key")
-    rest = _entity_keys(entities).join(layers.where(F.col("key") != DEFAULT_KEY), "key")
+    rest = split_join(_entity_keys(entities), layers.where(F.col("key") != DEFAULT_KEY), "key", rows)
     layer = F.when(F.col("rank") == 0, _RANKS[0]).when(F.col("rank") == 1, _RANKS[1]).otherwise(_RANKS[2])
     matched = shared.unionByName(rest).withColumn("layer", layer)
     return (

@@ -40,23 +40,44 @@ def _nullable(dtype: T.DataType) -> T.DataType:
     return dtype
 
 
-def parse_params(json, schema: T.StructType) -> Column:
-    """struct(value, malformed): the JSON read by kebab-case names into `schema`'s own names."""
+def read_params(json, schema: T.StructType) -> Column:
+    """The JSON read by kebab-case names, with the text of a malformed document beside the fields."""
     wire = _kebab_type(schema)
     read = T.StructType([*wire.fields, T.StructField(_CORRUPT, T.StringType())])
-    parsed = F.from_json(col(json), read, {"columnNameOfCorruptRecord": _CORRUPT, "mode": "PERMISSIVE"})
+    return F.from_json(col(json), read, {"columnNameOfCorruptRecord": _CORRUPT, "mode": "PERMISSIVE"})
+
+
+def parsed_params(parsed: Column, schema: T.StructType) -> tuple[Column, Column]:
+    """(value under `schema`'s own names, whether the document is malformed) of what `read_params` gave."""
     bad = parsed.isNull() | parsed[_CORRUPT].isNotNull()
-    value = F.struct(*[parsed[f.name].alias(f.name) for f in wire.fields]).cast(_nullable(schema))
+    wire = _kebab_type(schema)
+    return F.struct(*[parsed[f.name].alias(f.name) for f in wire.fields]).cast(_nullable(schema)), bad
+
+
+def parse_params(json, schema: T.StructType) -> Column:
+    """struct(value, malformed): the JSON read by kebab-case names into `schema`'s own names."""
+    value, bad = parsed_params(read_params(json, schema), schema)
     return F.struct(value.alias("value"), bad.alias("malformed"))
 
 
-def _fill(value: Column, dtype: T.StructType, defaults: Mapping[str, Any], prefix: str = "") -> Column:
-    """Put defaults into absent fields, inside nested structs that are present too."""
+def _fold(value: Column, allowed: Sequence[str]) -> Column:
+    """The allowed spelling of a value, whatever its case; null if there is none."""
+    found = F.lit(None).cast("string")
+    for spelling in allowed:
+        found = F.when(F.lower(value) == spelling.lower(), spelling).otherwise(found)
+    return found
+
+
+def _fill(value: Column, dtype: T.StructType, defaults: Mapping[str, Any], enums: Mapping[str, Sequence[str]], prefix: str = "") -> Column:
+    """Put defaults into absent fields and allowed spellings into enums, inside nested structs that are
+    present too."""
     fields = []
     for f in dtype.fields:
         path, field = prefix + f.name, value[f.name]
-        if isinstance(f.dataType, T.StructType) and any(d.startswith(path + ".") for d in defaults):
-            field = F.when(field.isNotNull(), _fill(field, f.dataType, defaults, path + "."))
+        if isinstance(f.dataType, T.StructType) and any(d.startswith(path + ".") for d in (*defaults, *enums)):
+            field = F.when(field.isNotNull(), _fill(field, f.dataType, defaults, enums, path + "."))
+        if path in enums:
+            field = _fold(field, enums[path])
         if path in defaults:
             field = F.coalesce(field, F.lit(defaults[path]).cast(f.dataType))
         fields.append(field.alias(f.name))
@@ -75,6 +96,17 @@ def _missing(value: Column, required: Sequence[str]) -> list[Column]:
     return checks
 
 
+def _strangers(value: Column, enums: Mapping[str, Sequence[str]]) -> list[Column]:
+    """A text per enum field whose value is not allowed in any case."""
+    checks = []
+    for path, allowed in enums.items():
+        field = value
+        for part in path.split("."):
+            field = field[part]
+        checks.append(F.when(field.isNotNull() & _fold(field, allowed).isNull(), f"{path} is none of {', '.join(allowed)}"))
+    return checks
+
+
 def bound_params(
     df: DataFrame,
     json: str,
@@ -83,17 +115,21 @@ def bound_params(
     required: Sequence[str] = (),
     override: str | None = None,
     out: str = "params",
+    enums: Mapping[str, Sequence[str]] | None = None,
 ) -> DataFrame:
     """Bind a JSON column to `schema`: add the struct `out` and an array of `violations`.
 
-    Dotted names reach nested fields. Where the `override` column (a struct of the same
-    schema) is not null it is taken as a whole instead of the JSON.
+    Dotted names reach nested fields. `enums` lists the allowed values of text fields, which match in any
+    case and come out as listed. Where the `override` column (a struct of the same schema) is not null it is
+    taken as a whole instead of the JSON.
     """
-    schema = _nullable(schema)
-    parsed = df.withColumn("__p", parse_params(json, schema))
-    value = _fill(F.col("__p.value"), schema, defaults or {})
-    missing = F.array_compact(F.array(F.lit(None).cast("string"), *_missing(F.col(out), required)))
-    checks = F.when(F.col("__p.malformed"), F.array(F.lit("malformed"))).otherwise(missing)
+    schema, enums = _nullable(schema), enums or {}
+    # Through a one-element array, so that the document is read once and not once per use.
+    parsed = df.withColumn("__p", F.explode(F.array(read_params(json, schema))))
+    raw, malformed = parsed_params(F.col("__p"), schema)
+    value = _fill(raw, schema, defaults or {}, enums)
+    missing = F.array_compact(F.array(F.lit(None).cast("string"), *_missing(F.col(out), required), *_strangers(raw, enums)))
+    checks = F.when(malformed, F.array(F.lit("malformed"))).otherwise(missing)
     if override is not None:
         value = F.coalesce(col(override), value)
         checks = F.when(col(override).isNotNull(), F.array().cast("array<string>")).otherwise(checks)
@@ -108,13 +144,14 @@ def bind_params(
     required: Sequence[str] = (),
     override: str | None = None,
     out: str = "params",
+    enums: Mapping[str, Sequence[str]] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """`bound_params` as (rows that bind, rows with `violations`).
 
     Each side parses the JSON again; to use both, split the result of `bound_params` after
     writing it, or keep it whole.
     """
-    bound = bound_params(df, json, schema, defaults, required, override, out)
+    bound = bound_params(df, json, schema, defaults, required, override, out, enums)
     good = F.size("violations") == 0
     return bound.where(good).drop("violations"), bound.where(~good).drop(out)
 

@@ -1,9 +1,9 @@
 """Row positions, and prefix sums over ordered integers, that survive a hot key.
 
 A table has no arrival order, so every positional operator takes explicit sort keys;
-`(by, order)` must be unique. Small inputs (checked by plan size) use one window. Larger
-ones are range-partitioned on the whole `(by, order)` key, so that a key holding a third
-of all rows spreads over many tasks, and numbered from bounded per-partition offsets.
+`(by, order)` must be unique. Rows are range-partitioned on the whole `(by, order)` key, so
+that a key holding a third of all rows spreads over many tasks, and numbered from bounded
+per-partition offsets; one way at every size.
 """
 
 from __future__ import annotations
@@ -14,28 +14,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowtable.functions.common import names
-from flowtable.session import fits_one_task, materialise
+from flowtable.session import materialise
 
 _SEQ, _PART, _BEFORE, _RANK, _START = "__seq", "__part", "__before", "__rank", "__start"
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row index in its low 33 bits
 
 
-def with_position(
-    df: DataFrame, by: str | Sequence[str], order: str | Sequence[str], pos: str = "pos", limit: int | None = None
-) -> DataFrame:
+def with_position(df: DataFrame, by: str | Sequence[str], order: str | Sequence[str], pos: str = "pos") -> DataFrame:
     """Add the 1-based position of each row among the rows of its `by` key.
 
-    `by` may be empty for one numbering over the whole table. `limit` overrides the size
-    up to which one task may hold a whole key (0 forces the distributed way).
+    `by` may be empty for one numbering over the whole table.
     """
     by, order = names(by), names(order)
-    if fits_one_task(df, limit):
-        w = Window.partitionBy(*by).orderBy(*order)
-        return df.withColumn(pos, F.row_number().over(w).cast("bigint"))
-    return _position_by_range(df, by, order, pos)
-
-
-def _position_by_range(df: DataFrame, by: list[str], order: list[str], pos: str) -> DataFrame:
     keys = [*by, *order]
     # The numbers depend on where the range bounds fell, so they are written once and
     # read back: tasks that run again after a lost executor see the same numbers.
@@ -81,23 +71,18 @@ def _position_by_range(df: DataFrame, by: list[str], order: list[str], pos: str)
     )
 
 
-def trailing_count(
-    df: DataFrame, by, order, flag: Column, rows: int, out: str, limit: int | None = None, chunk: int = 100_000
-) -> DataFrame:
+def trailing_count(df: DataFrame, by, order, flag: Column, rows: int, out: str, chunk: int = 100_000) -> DataFrame:
     """How many of the last `rows` rows of the same key (this one included) have `flag`.
 
-    Large inputs are cut by position into chunks of `chunk` rows; the last `rows - 1` rows
-    of a chunk are also copied into the next one, so a hot key is many small windows.
+    Keys are cut by position into chunks of `chunk` rows; the last `rows - 1` rows of a
+    chunk are also copied into the next one, so a hot key is many small windows.
     """
     by, order = names(by), names(order)
     hit = F.when(flag, 1).otherwise(0)
-    if fits_one_task(df, limit):
-        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(1 - rows, 0)
-        return df.withColumn(out, F.sum(hit).over(w).cast("bigint"))
     at = F.col("__pos") - 1
     own = F.floor(at / chunk)
     tail = at % chunk >= chunk - rows + 1
-    copies = with_position(df, by, order, "__pos", limit).withColumn("__own", own)
+    copies = with_position(df, by, order, "__pos").withColumn("__own", own)
     copies = copies.withColumn(
         "__chunk", F.explode(F.when(tail, F.array("__own", F.col("__own") + 1)).otherwise(F.array("__own")))
     )

@@ -60,7 +60,7 @@ def flat_items(df: DataFrame, array_col, item: str = "item", pos: str | None = N
     return df.select("*", F.posexplode(col(array_col)).alias(pos, item))
 
 
-def merge_outputs(outputs: Mapping[str, DataFrame], item: str | Column | None = None) -> DataFrame:
+def merge_outputs(outputs: Mapping[str, DataFrame]) -> DataFrame:
     """All step outputs as one table: `task`, and the columns of every step (null where absent)."""
     merged = None
     for name, df in outputs.items():

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowtable.session import new_path
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -20,6 +22,13 @@ def table_stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
 
 
+def split_stream(spark: SparkSession, sf: str, name: str, label: str, batches: int = 4) -> DataFrame:
+    """The table as a stream of several micro-batches, its rows dealt over them without regard to their order."""
+    rows, path = table(spark, sf, name), new_path(spark, label)
+    rows.repartition(batches).write.parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 # --- documents -> items, outputs, manifest ------------------------------------------------
 
 def documents(df: DataFrame) -> DataFrame:
@@ -69,6 +78,9 @@ MANIFEST_SQL = """manifest AS (
 
 # --- events -> run history, polls, attempts -----------------------------------------------
 
+DAYS = 100_000  # a run is known by its user, then its day since 1970
+
+
 def event_ms() -> Column:
     return F.expr("unix_micros(cast(ts as timestamp)) div 1000")
 
@@ -84,7 +96,7 @@ def task_runs(df: DataFrame) -> DataFrame:
     status = F.when(k < 80, "completed").when(k < 90, "partially completed").when(k < 97, "failed")
     return base.select(
         F.col("event_id").alias("id"),
-        (F.col("user_id") * 100 + F.dayofmonth("ts")).alias("run_id"),
+        (F.col("user_id") * DAYS + F.unix_date(F.col("ts").cast("date"))).alias("run_id"),
         F.col("event_type").alias("task_name"),
         "start_time",
         status.alias("completion_status"),
@@ -96,7 +108,7 @@ def task_runs(df: DataFrame) -> DataFrame:
 TASK_RUNS_SQL = """k AS (
   SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, epoch_us(ts) // 1000 AS ms FROM events),
 task_runs AS (
-  SELECT event_id AS id, user_id * 100 + day(ts) AS run_id, event_type AS task_name, ms AS start_time,
+  SELECT event_id AS id, user_id * 100000 + date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS run_id, event_type AS task_name, ms AS start_time,
     CASE WHEN k < 80 THEN 'completed' WHEN k < 90 THEN 'partially completed' WHEN k < 97 THEN 'failed' END AS completion_status,
     CASE WHEN k < 97 THEN ms + CAST(round(value * 1000) AS BIGINT) END AS completed_time, props
   FROM k)"""
@@ -106,7 +118,7 @@ def runs(tasks: DataFrame) -> DataFrame:
     bad = F.count(F.when(F.col("completion_status") != "completed", 1))
     waiting = F.count(F.when(F.col("completed_time").isNull(), 1))
     return tasks.groupBy("run_id").agg(
-        F.concat(F.lit("user-"), F.floor(F.col("run_id") / 100).cast("string")).alias("workflow_name"),
+        F.concat(F.lit("user-"), F.floor(F.col("run_id") / DAYS).cast("string")).alias("workflow_name"),
         F.min("start_time").alias("start_time"),
         (bad == 0).alias("completed_successfully"),
         F.when(waiting == 0, F.max("completed_time")).alias("completed_time"),
@@ -114,7 +126,7 @@ def runs(tasks: DataFrame) -> DataFrame:
 
 
 RUNS_SQL = """runs AS (
-  SELECT run_id, 'user-' || (run_id // 100) AS workflow_name, min(start_time) AS start_time,
+  SELECT run_id, 'user-' || (run_id // 100000) AS workflow_name, min(start_time) AS start_time,
     count(CASE WHEN completion_status <> 'completed' THEN 1 END) = 0 AS completed_successfully,
     CASE WHEN count(CASE WHEN completed_time IS NULL THEN 1 END) = 0 THEN max(completed_time) END AS completed_time
   FROM task_runs GROUP BY run_id)"""

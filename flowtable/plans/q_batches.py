@@ -47,35 +47,38 @@ def flux_buffer(spark, sf):
 
 
 _RESOURCES_SQL = """WITH i AS (SELECT l_orderkey AS batch, CASE WHEN l_linenumber <> 1 THEN CAST(floor(l_quantity) AS INTEGER) END AS cpus,
-    CAST(floor(l_extendedprice) AS BIGINT) AS memory FROM lineitem),
-t AS (SELECT batch, max(cpus) AS cpus, max(memory) AS memory FROM i GROUP BY batch),
+    CAST(floor(l_extendedprice) AS BIGINT) AS memory, CASE WHEN l_linenumber <> 2 THEN CAST(l_suppkey AS BIGINT) END AS disk FROM lineitem),
+t AS (SELECT batch, max(cpus) AS cpus, max(memory) AS memory, max(disk) AS disk FROM i GROUP BY batch),
 s AS (SELECT o_orderkey AS batch, CASE WHEN o_orderkey % 3 = 0 THEN 4 END AS cfg_cpus,
-    CASE WHEN o_orderkey % 4 = 0 THEN 1000 END AS cfg_memory FROM orders)"""
+    CASE WHEN o_orderkey % 4 = 0 THEN 1000 END AS cfg_memory, CASE WHEN o_orderkey % 5 = 0 THEN 77 END AS cfg_disk FROM orders)"""
 
 
 @query(
     "group_resources",
     _RESOURCES_SQL
-    + """ SELECT batch, 'config' AS precedence, coalesce(cfg_cpus, cpus) AS cpus, CAST(coalesce(cfg_memory, memory) AS BIGINT) AS memory
-FROM t LEFT JOIN s USING (batch)
-UNION ALL SELECT batch, 'runtime', coalesce(cpus, cfg_cpus), coalesce(memory, cfg_memory) FROM t LEFT JOIN s USING (batch)""",
+    + """ SELECT batch, 'config' AS precedence, coalesce(cfg_cpus, cpus) AS cpus, CAST(coalesce(cfg_memory, memory) AS BIGINT) AS memory,
+  CAST(coalesce(cfg_disk, disk) AS BIGINT) AS disk FROM t LEFT JOIN s USING (batch)
+UNION ALL SELECT batch, 'runtime', coalesce(cpus, cfg_cpus), coalesce(memory, cfg_memory), coalesce(disk, cfg_disk) FROM t LEFT JOIN s USING (batch)""",
 )
 def group_resources(spark, sf):
+    line = F.col("l_linenumber")
     lines = m.table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("batch"),
-        F.when(F.col("l_linenumber") != 1, F.floor("l_quantity").cast("int")).alias("cpus"),
+        F.when(line != 1, F.floor("l_quantity").cast("int")).alias("cpus"),
         F.floor("l_extendedprice").cast("bigint").alias("memory"),
+        F.when(line != 2, F.col("l_suppkey").cast("bigint")).alias("disk"),
     )
     key = F.col("o_orderkey")
     settings = m.table(spark, sf, "orders").select(
         key.alias("batch"),
         F.when(key % 3 == 0, 4).alias("cfg_cpus"),
         F.when(key % 4 == 0, F.lit(1000).cast("bigint")).alias("cfg_memory"),
+        F.when(key % 5 == 0, F.lit(77).cast("bigint")).alias("cfg_disk"),
     )
-    sides = [
-        b.batch_resources(lines, "batch", settings, p).withColumn("precedence", F.lit(p)) for p in ("config", "runtime")
-    ]
-    return sides[0].unionByName(sides[1]).select("batch", "precedence", "cpus", "memory")
+    # Aggregated and joined once; both orders of precedence are picked from the same row.
+    both = b.batch_resources(lines, "batch").join(settings, "batch", "left")
+    sides = [F.struct(F.lit(p).alias("precedence"), *[b.pick_resource(f, p) for f in b.RESOURCES]) for p in ("config", "runtime")]
+    return both.select("batch", F.inline(F.array(*sides)))
 
 
 @query(
@@ -198,7 +201,7 @@ def concurrency_profile(spark, sf):
 def keep_order(spark, sf):
     # Always the way for large inputs, so that the oracle sees it too.
     events = m.table(spark, sf, "events").select("event_type", "ts", "event_id")
-    return with_position(events, "event_type", ["ts", "event_id"], limit=0).select("event_type", "pos", "event_id")
+    return with_position(events, "event_type", ["ts", "event_id"]).select("event_type", "pos", "event_id")
 
 
 @query(
@@ -228,15 +231,12 @@ def error_isolate(spark, sf):
     items = m.table(spark, sf, "events").select("event_id", raw.alias("raw"))
     k = F.col("raw").try_cast("int")
     error = F.when(k.isNull(), F.concat(F.lit("not a number: "), "raw")).when(k == 0, "division by zero")
-    ok, failed = e.isolate(items, {"result": F.floor(F.lit(1000) / F.when(k != 0, k))}, error)
-    return ok.select("event_id", "result").unionByName(
-        failed.select("event_id", "error"), allowMissingColumns=True
-    )
+    return e.tried(items, {"result": F.floor(F.lit(1000) / F.when(k != 0, k))}, error).select("event_id", "result", "error")
 
 
 @query(
     "retry_outcome",
-    """WITH a AS (SELECT user_id AS item, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS attempt,
+    """WITH a AS (SELECT user_id AS item, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS attempt,
     event_type = 'purchase' AS ok, event_type <> 'error' AS retryable, event_type || ' ' || event_id AS error FROM events),
 b AS (SELECT * FROM a WHERE attempt <= 3),
 e AS (SELECT item, coalesce(min(CASE WHEN ok OR NOT retryable THEN attempt END), max(attempt)) AS attempt FROM b GROUP BY item)
@@ -245,7 +245,7 @@ SELECT b.item, ok, b.attempt, CASE WHEN NOT ok THEN error END AS error FROM b JO
 def retry_outcome(spark, sf):
     kind = F.col("event_type")
     # Only the first three attempts count, and Spark cuts to them before the shuffle.
-    w = Window.partitionBy("user_id").orderBy("ts")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     attempts = (
         m.table(spark, sf, "events")
         .withColumn("attempt", F.row_number().over(w))

@@ -59,8 +59,10 @@ def exec_explode(spark, sf):
     lines = m.table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("run"), "l_returnflag", "l_partkey", "l_suppkey", "l_linenumber"
     )
-    # Lines that tie on this order may swap places, which the counts per run do not see.
-    order = ["l_linenumber", "l_partkey", "l_suppkey"]
+    # Lines may repeat as a whole; repeats are told apart by their number.
+    keys = ["run", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"]
+    lines = lines.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "n")))
+    order = [*keys[1:], "copy"]
     part = F.col("l_partkey").cast("string")
     execution = F.struct(
         F.col("l_returnflag").alias("image"),

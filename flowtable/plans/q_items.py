@@ -8,12 +8,12 @@ from flowtable.functions.common import render
 from flowtable.functions.paths import file_name, mount_path, none_marker, stem
 from flowtable.operators import incremental as inc
 from flowtable.operators.batches import zip_streams
-from flowtable.operators.content import base64_text, content_stages
-from flowtable.operators.history import status_doc
+from flowtable.operators.content import base64_text, content_pipeline, content_stages
+from flowtable.operators.history import status_doc, status_entries, with_workflow_status
 from flowtable.operators.tasks import flat_items, lookup_strict, merge_as_json, task_map, validate_requests
 from flowtable.plans import model as m
 from flowtable.plans.registry import query
-from flowtable.plans.run import run_step
+from flowtable.plans.run import ChainStep, run_chain, run_step
 from flowtable.plans.workflow import Workflow
 from flowtable.session import new_path
 from flowtable.sources.items import items
@@ -29,23 +29,31 @@ def src_items(spark, sf):
 
 @query(
     "src_listing",
-    "SELECT 'status=' || o_orderstatus AS folder, count(*) AS items FROM orders GROUP BY 1",
+    """SELECT 'status=' || o_orderstatus AS folder, count(*) AS items, 0::BIGINT AS unlisted, 0::BIGINT AS surplus,
+  0::BIGINT AS differing FROM orders GROUP BY 1""",
 )
 def src_listing(spark, sf):
-    # Outputs of a step, written per status; the listing must hold the file of every row.
+    # Outputs of a step, written per status, against their listing: every file that holds rows is listed
+    # with its length and time, and no other data file is.
     root = new_path(spark, "orders")
     m.table(spark, sf, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status")).write.partitionBy(
         "status"
     ).parquet(root)
     rows = spark.read.schema("o_orderkey bigint, status string").parquet(root)
-    file = F.col("_metadata.file_path").alias("file")
-    per_file = rows.select("status", file).groupBy("status", "file").agg(F.count(F.lit(1)).alias("n"))
-    listing = list_files(spark, root).select(_bare("path").alias("file"))
-    return (
-        per_file.withColumn("file", _bare("file"))
-        .join(listing, "file", "left_semi")
-        .groupBy(F.concat(F.lit("status="), "status").alias("folder"))
-        .agg(F.sum("n").alias("items"))
+    known = rows.select(
+        _bare("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"),
+        F.unix_millis("_metadata.file_modification_time").alias("ms"),
+    )
+    per_file = known.groupBy("file", "size", "ms").agg(F.count(F.lit(1)).alias("n"))
+    data = list_files(spark, root).where(F.col("path").endswith(".parquet") & ~F.col("path").rlike(r"/\.[^/]*$"))
+    listing = data.select(_bare("path").alias("file"), "length", F.unix_millis("modified").alias("listed_ms"))
+    both = per_file.join(listing, "file", "full")
+    count = lambda cond: F.count(F.when(cond, 1))
+    return both.groupBy(F.regexp_extract("file", "/(status=[^/]*)/", 1).alias("folder")).agg(
+        F.sum("n").alias("items"),
+        count(F.col("length").isNull()).alias("unlisted"),
+        count(F.col("n").isNull()).alias("surplus"),
+        count((F.col("length") != F.col("size")) | (F.col("listed_ms") != F.col("ms"))).alias("differing"),
     )
 
 
@@ -135,7 +143,7 @@ def step_rerun(spark, sf):
 
 
 _DOC_SQL = f"""WITH {m.TASK_RUNS_SQL}, {m.RUNS_SQL}, entries AS (
-  SELECT t.run_id, (row_number() OVER (PARTITION BY t.run_id ORDER BY t.id) - 1) // 4 AS part, t.id,
+  SELECT t.run_id, t.id,
     json_object('taskName', task_name, 'startTime', start_time, 'completionStatus',
       CASE WHEN completed_time IS NULL THEN 'IN_PROGRESS' WHEN completion_status = 'completed' THEN 'SUCCEEDED'
         WHEN completion_status = 'partially completed' THEN 'PARTIALLY_SUCCEEDED' ELSE 'FAILED' END,
@@ -143,14 +151,14 @@ _DOC_SQL = f"""WITH {m.TASK_RUNS_SQL}, {m.RUNS_SQL}, entries AS (
       json_array(json_object('image', task_name, 'command', props, 'input', 'events/' || id, 'output', 'out/' || id)))::VARCHAR AS entry
   FROM task_runs t),
 docs AS (
-  SELECT r.run_id, e.part,
+  SELECT r.run_id,
     '{{"workflowRunStatus":' || json_object('workflowName', any_value(workflow_name), 'startTime', any_value(start_time),
        'completedSuccessfully', any_value(completed_successfully), 'completedTime', min(completed_time))::VARCHAR
     || ',"taskRunStatuses":[' || string_agg(entry, ',' ORDER BY e.id) || ']}}' AS doc
-  FROM runs r JOIN entries e ON r.run_id = e.run_id GROUP BY r.run_id, e.part)"""
+  FROM runs r JOIN entries e ON r.run_id = e.run_id GROUP BY r.run_id)"""
 
 
-def _docs(spark, sf, part_size):
+def _executed(spark, sf):
     tasks = m.task_runs(m.table(spark, sf, "events"))
     text = F.col("id").cast("string")
     execution = F.struct(
@@ -159,24 +167,31 @@ def _docs(spark, sf, part_size):
         F.concat(F.lit("events/"), text).alias("input"),
         F.concat(F.lit("out/"), text).alias("output"),
     )
-    return status_doc(m.runs(tasks), tasks.withColumn("executions", F.array(execution)), part_size)
+    return tasks.withColumn("executions", F.array(execution))
 
 
-@query("status_doc", _DOC_SQL + " SELECT run_id, CAST(part AS BIGINT) AS part, doc FROM docs")
+@query("status_doc", _DOC_SQL + " SELECT run_id, doc FROM docs")
 def status_docs(spark, sf):
-    return _docs(spark, sf, 4)
+    tasks = _executed(spark, sf)
+    return status_doc(m.runs(tasks), tasks)
+
+
+@query("status_entries", _DOC_SQL + " SELECT run_id, id, entry FROM entries")
+def status_rows(spark, sf):
+    entries = status_entries(_executed(spark, sf))
+    return entries.select("run_id", "id", F.to_json("entry", {"ignoreNullFields": "false"}).alias("entry"))
 
 
 @query(
     "snk_status_json",
     _DOC_SQL
     + """ SELECT json_extract_string(doc, '$.workflowRunStatus.workflowName') AS workflow,
-  CAST(count(*) AS BIGINT) AS parts, CAST(sum(json_array_length(doc, '$.taskRunStatuses')) AS BIGINT) AS tasks,
+  CAST(count(*) AS BIGINT) AS documents, CAST(sum(json_array_length(doc, '$.taskRunStatuses')) AS BIGINT) AS tasks,
   CAST(sum(len(string_split(doc, '"completionStatus":"FAILED"')) - 1) AS BIGINT) AS failed FROM docs GROUP BY 1""",
 )
 def snk_status_json(spark, sf):
-    path = new_path(spark, "status")
-    write_status(_docs(spark, sf, 4), path)
+    path, tasks = new_path(spark, "status"), _executed(spark, sf)
+    write_status(status_doc(m.runs(tasks), tasks), path)
     schema = (
         "workflowRunStatus struct<workflowName:string,startTime:bigint,completedSuccessfully:boolean,completedTime:bigint>,"
         "taskRunStatuses array<struct<taskName:string,completionStatus:string>>"
@@ -184,7 +199,7 @@ def snk_status_json(spark, sf):
     docs = spark.read.schema(schema).json(path)
     failed = F.size(F.filter("taskRunStatuses", lambda t: t["completionStatus"] == "FAILED"))
     return docs.groupBy(F.col("workflowRunStatus.workflowName").alias("workflow")).agg(
-        F.count(F.lit(1)).alias("parts"),
+        F.count(F.lit(1)).alias("documents"),
         F.sum(F.size("taskRunStatuses")).alias("tasks"),
         F.sum(failed).alias("failed"),
     )
@@ -303,6 +318,60 @@ def content(spark, sf):
     )
 
 
+@query(
+    "content_pipeline",
+    f"""WITH {m.DOCUMENTS_SQL}, s AS (
+  SELECT item_id, split_part(split_part(path, '/', -1), '.', 1) AS stem, base64(encode(text)) AS b64 FROM docs)
+SELECT 'base64' AS task, item_id, 'base64/' || stem || '.b64' AS path, 'file' AS status, CAST(length(b64) AS BIGINT) AS length, b64 AS content FROM s
+UNION ALL SELECT 'gzip', item_id, 'gzip/' || stem || '.b64.gz', 'file', CAST(length(b64) AS BIGINT), b64 FROM s
+UNION ALL SELECT 'gzip', item_id, 'gzip/' || stem || '.b64.fake' || CASE WHEN item_id % 5 = 0 THEN '' ELSE '.none' END,
+  CASE WHEN item_id % 5 = 0 THEN 'file' ELSE 'none' END, CASE WHEN item_id % 5 = 0 THEN 4 ELSE 0 END,
+  CASE WHEN item_id % 5 = 0 THEN 'fake' END FROM s""",
+)
+def content_pipeline_query(spark, sf):
+    root = new_path(spark, "content")
+    docs = m.documents(m.table(spark, sf, "documents"))
+    manifest = content_pipeline(docs, root, F.when(F.col("item_id") % 5 == 0, "fake"))
+    made = spark.read.schema("item_id bigint, path string, content string").parquet(f"{root}/content")
+    return manifest.join(made.select("path", "content"), "path", "left").select(
+        "task", "item_id", "path", "status", "length", "content"
+    )
+
+
+@query(
+    "chain_rerun",
+    """WITH s AS (SELECT * FROM (VALUES (1, 'one'), (2, 'two'), (3, 'three')) t(step, task)), r AS (SELECT unnest([1, 2]) AS run_id),
+p AS (SELECT run_id, step, task, doc_id FROM documents, s, r WHERE doc_id % 7 >= step OR doc_id % 7 = 0)
+SELECT run_id, task, CASE WHEN run_id = 1 OR doc_id % 7 = step THEN 'run' ELSE 'skip' END AS action,
+  CASE WHEN doc_id % 7 = step THEN 'lost' ELSE 'done' END AS outcome, count(*) AS n, 'FAILED' AS run_status FROM p GROUP BY ALL""",
+)
+def chain_rerun(spark, sf):
+    # Three chained steps, each losing some items, run twice: what is there is skipped and flows on, what was
+    # lost is tried again, and the store knows how the runs ended.
+    store = Store(spark, new_path(spark, "chain"))
+    docs = m.documents(m.table(spark, sf, "documents")).select("item_id", F.md5("text").alias("text"))
+    out = lambda task: render(task + "/{i}.txt", i=F.col("item_id"))
+    steps = [
+        ChainStep(
+            task,
+            lambda df, task=task: df.select("item_id", out(task).alias("path"), F.lit(False).alias("optional")),
+            lambda df, task=task, n=n: df.where(F.col("item_id") % 7 != n).select("item_id", out(task).alias("path"), F.upper("text").alias("content")),
+            grouping=100,
+        )
+        for n, task in enumerate(("one", "two", "three"), 1)
+    ]
+    found = None
+    for run_id in (1, 2):
+        for task, result in run_chain(store, "chain", docs, steps, run_id).items():
+            lost = result.lost.select("item_id", F.lit("lost").alias("outcome"))
+            rows = result.planned.join(lost, "item_id", "left").groupBy(
+                F.lit(run_id).alias("run_id"), F.lit(task).alias("task"), "action", F.coalesce("outcome", F.lit("done")).alias("outcome")
+            ).agg(F.count(F.lit(1)).alias("n"))
+            found = rows if found is None else found.unionByName(rows)
+    status = with_workflow_status(store.workflow_runs()).select(F.col("run_id").cast("int"), F.col("status").alias("run_status"))
+    return found.join(status, "run_id")
+
+
 @query(
     "flux_merge",
     """SELECT 'events' AS task, json_object('event_id', event_id, 'event_type', event_type)::VARCHAR AS output FROM events

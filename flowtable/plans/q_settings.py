@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowtable.functions.nested import explode_refs, file_ref
-from flowtable.functions.units import bytes_of
 from flowtable.operators import catalog as c
 from flowtable.operators import incremental as inc
 from flowtable.operators import overlay as o
@@ -46,15 +45,11 @@ def stem_collisions(spark, sf):
     """WITH u AS (SELECT page_id, CASE WHEN page_id % 10 = 0 THEN url ELSE regexp_replace(url, '^https?', 'gs') END AS url FROM pages)
 SELECT regexp_extract(url, 'gs://(.*?)/(.*)', 1) AS bucket, count(*) AS objects, count(*) AS round_trips
 FROM u WHERE regexp_matches(url, 'gs://(.*?)/(.*)') GROUP BY 1
-UNION ALL SELECT NULL, count(*), 0 FROM u WHERE NOT regexp_matches(url, 'gs://(.*?)/(.*)')""",
+UNION ALL SELECT NULL, count(*), 0 FROM u WHERE NOT regexp_matches(url, 'gs://(.*?)/(.*)') HAVING count(*) > 0""",
 )
 def object_inventory(spark, sf):
     url = F.when(F.col("page_id") % 10 == 0, F.col("url")).otherwise(F.regexp_replace("url", "^https?", "gs"))
-    buckets, bad = c.object_inventory(m.table(spark, sf, "pages").select("page_id", url.alias("url")), "url")
-    rejected = bad.agg(F.count(F.lit(1)).alias("objects")).select(
-        F.lit(None).cast("string").alias("bucket"), "objects", F.lit(0).cast("bigint").alias("round_trips")
-    )
-    return buckets.unionByName(rejected)
+    return c.object_inventory(m.table(spark, sf, "pages").select("page_id", url.alias("url")), "url")
 
 
 @query(
@@ -86,10 +81,7 @@ def normalize_resources(spark, sf):
         F.col("p_size").alias("minutes"),
         F.when(key % 17 == 0, "some").when(key % 3 == 0, "Unlimited").otherwise(F.col("p_size").cast("string")).alias("parallelism"),
     )
-    good, bad = c.normalize_resources(requests, "capacity", "minutes", "minutes", "parallelism")
-    rejected = bad.groupBy("task", F.concat_ws(",", "violations").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
-    totals = c.resource_totals(good, "task").withColumn("kind", F.lit("ok"))
-    return totals.unionByName(rejected, allowMissingColumns=True)
+    return c.resource_totals(c.normalize_resources(requests, "capacity", "minutes", "minutes", "parallelism"), "task")
 
 
 @query(
@@ -140,21 +132,25 @@ PARAMS = T.StructType(
         T.StructField("complexValue", T.StructType([T.StructField("intValue", T.IntegerType()), T.StructField("doubleValue", T.DoubleType())])),
         T.StructField("tags", T.ArrayType(T.StringType())),
         T.StructField("extra", T.MapType(T.StringType(), T.StringType())),
+        T.StructField("runMode", T.StringType()),
     ]
 )
 
 
 @query(
     "param_bind",
-    """WITH e AS (SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)
-SELECT event_id, CASE WHEN event_id % 17 <> 0 THEN k END AS k,
-  CASE WHEN event_id % 17 = 0 OR event_id % 19 = 0 THEN NULL WHEN event_id % 2 = 0 THEN event_type ELSE 'default' END AS with_default,
-  CASE WHEN event_id % 17 <> 0 AND event_id % 19 <> 0 AND event_id % 3 = 0 THEN k + 1 END AS int_value,
-  CASE WHEN event_id % 17 <> 0 AND event_id % 19 <> 0 AND event_id % 3 = 0 THEN 2.5::DOUBLE END AS double_value,
-  CASE WHEN event_id % 17 <> 0 AND event_id % 19 <> 0 AND event_id % 5 = 0 THEN 'a,' || event_type ELSE '' END AS tags,
-  CASE WHEN event_id % 17 <> 0 AND event_id % 19 <> 0 AND event_id % 7 = 0 THEN event_type END AS extra_text,
-  CASE WHEN event_id % 19 = 0 THEN 'malformed' WHEN event_id % 17 = 0 THEN 'k is missing' ELSE '' END AS violations
-FROM (SELECT event_id, event_type, CASE WHEN event_id % 19 <> 0 THEN k END AS k FROM e)""",
+    """WITH e AS (SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
+    event_id % 17 <> 0 AND event_id % 19 <> 0 AND event_id % 44 <> 3 AS good FROM events)
+SELECT event_id, CASE WHEN good THEN k END AS k,
+  CASE WHEN NOT good THEN NULL WHEN event_id % 2 = 0 THEN event_type ELSE 'default' END AS with_default,
+  CASE WHEN good AND event_id % 3 = 0 THEN k + 1 END AS int_value,
+  CASE WHEN good AND event_id % 3 = 0 THEN 2.5::DOUBLE END AS double_value,
+  CASE WHEN good AND event_id % 5 = 0 THEN 'a,' || event_type ELSE '' END AS tags,
+  CASE WHEN good AND event_id % 7 = 0 THEN event_type END AS extra_text,
+  CASE WHEN good AND event_id % 4 = 1 THEN 'Fast' WHEN good AND event_id % 4 = 2 THEN 'careful' END AS run_mode,
+  CASE WHEN event_id % 19 = 0 THEN 'malformed' ELSE concat_ws(',', CASE WHEN event_id % 17 = 0 THEN 'k is missing' END,
+    CASE WHEN event_id % 44 = 3 THEN 'runMode is none of Fast, careful' END) END AS violations
+FROM e""",
 )
 def param_bind(spark, sf):
     i = F.col("event_id")
@@ -168,18 +164,22 @@ def param_bind(spark, sf):
         piece(i % 3 == 0, F.concat(F.lit('"complex-value": {"int-value": '), (m.event_k() + 1).cast("string"), F.lit("}"))),
         piece(i % 5 == 0, F.concat(F.lit('"tags": ["a", '), quoted, F.lit("]"))),
         piece(i % 7 == 0, F.concat(F.lit('"extra": {"text": '), quoted, F.lit("}"))),
+        piece(i % 4 == 1, F.lit('"run-mode": "FAST"')),
+        piece(i % 4 == 2, F.lit('"run-mode": "Careful"')),
+        piece(i % 44 == 3, F.lit('"run-mode": "odd"')),
     )
     json = F.when(i % 19 == 0, F.concat(F.lit("{"), fields)).otherwise(F.concat(F.lit("{"), fields, F.lit("}")))
     rows = m.table(spark, sf, "events").select("event_id", json.alias("json"))
     bound = p.bound_params(
-        rows, "json", PARAMS, defaults={"withDefault": "default", "complexValue.doubleValue": 2.5}, required=["k"]
+        rows, "json", PARAMS, defaults={"withDefault": "default", "complexValue.doubleValue": 2.5}, required=["k"],
+        enums={"runMode": ["Fast", "careful"]},
     )
     v = F.when(F.size("violations") == 0, F.col("params"))
     return bound.select(
         "event_id", v["k"].alias("k"), v["withDefault"].alias("with_default"),
         v["complexValue"]["intValue"].alias("int_value"), v["complexValue"]["doubleValue"].alias("double_value"),
         F.concat_ws(",", F.coalesce(v["tags"], F.array())).alias("tags"),
-        v["extra"]["text"].alias("extra_text"), F.concat_ws(",", "violations").alias("violations"),
+        v["extra"]["text"].alias("extra_text"), v["runMode"].alias("run_mode"), F.concat_ws(",", "violations").alias("violations"),
     )
 
 
@@ -258,11 +258,18 @@ def import_merge(spark, sf):
     return t.import_merge(side("c_custkey % 3 <> 0", "own"), side("c_custkey % 2 = 0", "imported"), "name")
 
 
-_TIERS_SQL = "tiers AS (SELECT * FROM (VALUES " + ", ".join(
-    f"('{name}', '{prefix}', {cpus}, {bytes_of(gb, 'GB')}, {i})"
-    for name, (prefix, sizes) in s.MACHINE_CLASSES.items()
-    for i, (cpus, gb) in enumerate(sizes)
-) + ") t(class, prefix, cpus, memory, i))"
+_TIERS_SQL = """tiers AS (SELECT class, prefix, cpus, CAST(gb * 1073741824 AS BIGINT) AS memory FROM (VALUES
+  ('STANDARD', 'n1-standard', 1, 3.75), ('STANDARD', 'n1-standard', 2, 7.5), ('STANDARD', 'n1-standard', 4, 15),
+  ('STANDARD', 'n1-standard', 8, 50), ('STANDARD', 'n1-standard', 16, 60), ('STANDARD', 'n1-standard', 32, 120),
+  ('STANDARD', 'n1-standard', 64, 240), ('STANDARD', 'n1-standard', 96, 360),
+  ('HIGHMEM', 'n1-highmem', 2, 13), ('HIGHMEM', 'n1-highmem', 4, 26), ('HIGHMEM', 'n1-highmem', 8, 52),
+  ('HIGHMEM', 'n1-highmem', 16, 104), ('HIGHMEM', 'n1-highmem', 32, 208), ('HIGHMEM', 'n1-highmem', 64, 416),
+  ('HIGHMEM', 'n1-highmem', 96, 624),
+  ('HIGHCPU', 'n1-highcpu', 2, 1.8), ('HIGHCPU', 'n1-highcpu', 4, 3.6), ('HIGHCPU', 'n1-highcpu', 8, 7.2),
+  ('HIGHCPU', 'n1-highcpu', 16, 14.4), ('HIGHCPU', 'n1-highcpu', 32, 28.8), ('HIGHCPU', 'n1-highcpu', 64, 57.6),
+  ('HIGHCPU', 'n1-highcpu', 96, 86.4),
+  ('ULTRAMEM', 'n1-ultramem', 40, 961), ('ULTRAMEM', 'n1-ultramem', 80, 1922), ('ULTRAMEM', 'n1-ultramem', 160, 3844)
+) t(class, prefix, cpus, gb))"""
 
 
 @query(

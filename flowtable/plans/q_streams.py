@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowtable.operators.content import base64_text
+from flowtable.operators.history import with_task_status
 from flowtable.plans import model as m
 from flowtable.plans import q_items
 from flowtable.plans.q_batches import _POS_SQL
@@ -16,11 +17,11 @@ from flowtable.plans.registry import ORACLES, query
 from flowtable.plans.workflow import Workflow
 from flowtable.session import new_path
 from flowtable.streaming.buffer import read_buffers, stream_buffer
-from flowtable.streaming.dedup import stream_dedup
-from flowtable.streaming.epochs import START, drain, drain_updates, finish, read_all
+from flowtable.streaming.dedup import read_paths, stream_dedup
+from flowtable.streaming.epochs import START, drain, finish, read_all
 from flowtable.streaming.incremental import STORE_SCHEMA, stream_incremental
 from flowtable.streaming.jobs import read_outcomes, stream_job_outcome
-from flowtable.streaming.status import report_counts, stream_status
+from flowtable.streaming.status import read_counts, read_reports, read_status, report_counts, stream_report, stream_status
 
 
 @query("stream_task", ORACLES["task_map"])
@@ -69,21 +70,37 @@ def stream_buffer_query(spark, sf):
 
 @query("stream_status", ORACLES["record_upsert"])
 def stream_status_query(spark, sf):
-    log = event_log(m.task_runs(m.table_stream(spark, sf, "events")))
-    return drain_updates(stream_status(log), "id", "stream-status")
+    root = new_path(spark, "stream-status")
+    finish(stream_status(event_log(m.task_runs(m.split_stream(spark, sf, "events", "status-in"))), root))
+    return read_status(spark, root)
 
 
 @query(
-    "stream_report",
+    "stream_counts",
     """SELECT epoch_ms(time_bucket(INTERVAL '120 seconds', ts, TIMESTAMP '1970-01-01')) AS start_ms, event_type AS kind, count(*) AS n
 FROM events GROUP BY 1, 2""",
 )
-def stream_report(spark, sf):
-    arriving = m.table_stream(spark, sf, "events").select(
+def stream_counts(spark, sf):
+    root = new_path(spark, "stream-counts")
+    arriving = m.split_stream(spark, sf, "events", "counts-in").select(
         F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("kind")
     )
-    counts = drain_updates(report_counts(arriving), ["start", "kind"], "stream-report")
-    return counts.select(F.unix_millis("start").alias("start_ms"), "kind", "n")
+    finish(report_counts(arriving, root))
+    return read_counts(spark, root).select(F.unix_millis("start").alias("start_ms"), "kind", "n")
+
+
+@query(
+    "stream_report",
+    f"""WITH {m.TASK_RUNS_SQL} SELECT run_id, CASE WHEN completed_time IS NULL THEN 'IN_PROGRESS'
+    WHEN completion_status = 'completed' THEN 'SUCCEEDED' WHEN completion_status = 'partially completed' THEN 'PARTIALLY_SUCCEEDED'
+    ELSE 'FAILED' END AS status, count(*) AS n FROM task_runs GROUP BY ALL""",
+)
+def stream_report_query(spark, sf):
+    root = new_path(spark, "stream-report")
+    changes = with_task_status(m.task_runs(m.split_stream(spark, sf, "events", "report-in"))).select("run_id", "status")
+    for _ in range(2):  # the second time nothing has changed, and nothing is reported
+        finish(stream_report(changes, root, trigger={"availableNow": True}))
+    return read_reports(spark, root).groupBy("run_id", "status").agg(F.sum("n").alias("n"))
 
 
 @query("stream_job_outcome", OUTCOME_SQL)
@@ -93,10 +110,10 @@ def stream_job_outcome_query(spark, sf):
     return read_outcomes(spark, root)
 
 
-@query("stream_dedup", "SELECT DISTINCT 'out/' || user_id || '/' || event_type AS path FROM events")
+@query("stream_dedup", "SELECT DISTINCT 'out/' || user_id || '/' || event_type AS path FROM events WHERE user_id % 9 <> 4")
 def stream_dedup_query(spark, sf):
-    path = F.concat_ws("/", F.lit("out"), F.col("user_id").cast("string"), "event_type")
-    arriving = m.table_stream(spark, sf, "events").select(
-        path.alias("path"), F.col("ts").cast("timestamp").alias("ts"), "event_id"
-    )
-    return drain(stream_dedup(arriving, "path", "ts", "60 days", "event_id").select("path"), "stream-dedup")
+    root = new_path(spark, "stream-dedup")
+    path = F.concat_ws("/", F.lit("out"), F.col("user_id").cast("string"), "event_type").alias("path")
+    there = m.table(spark, sf, "events").where("user_id % 9 = 4").select(path).distinct()
+    finish(stream_dedup(m.split_stream(spark, sf, "events", "dedup-in").select(path), root, there))
+    return read_paths(spark, root)

@@ -1,9 +1,9 @@
-"""Running one step over its items: skip what is done, run the rest, check, record."""
+"""Running steps over their items: skip what is done, run the rest, check, record."""
 
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -52,14 +52,16 @@ def run_step(
     struct(image, command, input, output) per item for it. A step that raises loses the
     items it ran, not the skipped ones and not the other steps.
     """
-    version, started = store.next_version(), _now()
+    version, started = store.new_version(), _now()
     keys = names(item)
     # Written once, before the outputs change; keys only, so skipped items are not copied.
     planned = materialise(plan_skips(items.select(*keys), declare(items), store.manifest(), item, force), "plan")
     todo = items.join(planned.where(F.col("action") == "run").select(*keys), keys, "left_semi")
     error = None
     try:
-        files = write_outputs(run(todo), declare(todo), store.path("files", version), task, item)
+        files = write_outputs(
+            run(todo), declare(todo), store.root, task, item, run=version.token, epoch=version.epoch
+        )
         missing = files.where(F.col("status") == "missing").select(*keys).distinct()
     except Exception as e:  # noqa: BLE001 - a failing step is an outcome, not the end of the run
         error = f"{type(e).__name__}: {e}"
@@ -70,6 +72,34 @@ def run_step(
     )
 
 
+@dataclass(frozen=True)
+class ChainStep:
+    """A step of a chain: as in `run_step`; `then` makes the next step's items of those that flow on."""
+
+    task: str
+    declare: Callable[[DataFrame], DataFrame]
+    run: Callable[[DataFrame], DataFrame]
+    then: Callable[[DataFrame], DataFrame] = lambda done: done
+    grouping: int = 1
+
+
+def run_chain(
+    store: Store, name: str, items: DataFrame, steps: Sequence[ChainStep], run_id: int, item: str = "item_id"
+) -> dict[str, StepResult]:
+    """Run the steps one after another as one run of workflow `name`; lost items do not flow on.
+
+    The store gets the run's record at the start and, with its outcome, at the end.
+    """
+    store.start_run(run_id, name)
+    results = {}
+    for step in steps:
+        result = run_step(store, step.task, items, step.declare, step.run, item=item, run_id=run_id, grouping=step.grouping)
+        results[step.task] = result
+        items = materialise(step.then(result.done), "chain")
+    store.complete_run(run_id)
+    return results
+
+
 def _record(store, version, task, todo, missing, item, run_id, grouping, execution, started, error) -> None:
     """One history row per batch of items, in the place a finished task run has."""
     executed = F.lit(None).cast(EXECUTIONS_TYPE.removeprefix("array<").removesuffix(">")) if execution is None else execution
@@ -80,7 +110,7 @@ def _record(store, version, task, todo, missing, item, run_id, grouping, executi
     )
     status = F.lit(FAILED) if error else F.when(F.col("__bad"), PARTIAL).otherwise(COMPLETED)
     rows.select(
-        F.concat(F.lit(f"{task}-{version}-"), F.col("batch_id").cast("string")).alias("id"),
+        F.concat(F.lit(f"{task}-{version.epoch}-"), F.col("batch_id").cast("string")).alias("id"),
         F.lit(run_id).cast("bigint").alias("run_id"),
         F.lit(task).alias("task_name"),
         F.lit(started).cast("bigint").alias("start_time"),

@@ -1,15 +1,13 @@
-"""Session helpers: time zone, the shared folder, and plan-size checks."""
+"""Session helpers: time zone, the shared folder, and what the library writes there."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 SHARED_DIR_CONF = "spark.checkpoint.dir"
-SINGLE_TASK_BYTES_CONF = "spark.flowtable.singleTaskBytes"
-DEFAULT_SINGLE_TASK_BYTES = 16 * 1024 * 1024
+_scratch: list[str] = []
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -20,18 +18,11 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named by the cluster.
-
-    Only a local-mode session without the setting (tests) gets a folder of its own.
-    """
+    """The folder every executor can reach, as named by the cluster. There is no fallback."""
     configured = spark.conf.get(SHARED_DIR_CONF, None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {SHARED_DIR_CONF} to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="flowtable-")
-    spark.conf.set(SHARED_DIR_CONF, folder)
-    return folder
+    raise RuntimeError(f"set {SHARED_DIR_CONF} to a folder all executors share")
 
 
 def new_path(spark: SparkSession, label: str) -> str:
@@ -45,27 +36,19 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     Used where a value must not change when a lost executor's tasks run again
     (row numbers, results of user functions), and to cut lineage. Parquet rather
     than `checkpoint()`, so that later reads still prune columns.
+    `release` deletes the copies.
     """
     path = new_path(df.sparkSession, label)
+    _scratch.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def plan_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate, or None where the session does not offer it. Starts no job."""
-    plan = getattr(df, "_jdf", None)
-    return None if plan is None else int(plan.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
-def fits_one_task(df: DataFrame, limit: int | None = None) -> bool:
-    """Whether even one key holding *all* of `df` could be sorted by one task.
-
-    The estimate errs on the high side (joins multiply, filters keep the size), so
-    a wrong answer only picks the distributed way, which is right at any size.
-    """
-    if limit is None:
-        limit = int(
-            df.sparkSession.conf.get(SINGLE_TASK_BYTES_CONF, str(DEFAULT_SINGLE_TASK_BYTES))
-        )
-    size = plan_bytes(df)
-    return size is not None and size <= limit
+def release(spark: SparkSession) -> int:
+    """Delete the copies that `materialise` has made so far; call it when no frame that was built on them
+    will be read again. Returns their number."""
+    jvm, conf, n = spark._jvm, spark._jsc.hadoopConfiguration(), 0
+    while _scratch:
+        path = jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        n += path.getFileSystem(conf).delete(path, True)
+    return n

@@ -29,13 +29,15 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
             for uri in batch.column("path").to_pylist():
                 store, base = fs.FileSystem.from_uri(uri) if ":" in uri else (fs.LocalFileSystem(), uri)
                 inside = store.get_file_info(fs.FileSelector(base, allow_not_found=True))
-                found = {
-                    "path": [f"{uri.rstrip('/')}/{i.base_name}" for i in inside],
-                    "folder": [i.type == fs.FileType.Directory for i in inside],
-                    "length": [i.size or 0 for i in inside],
-                    "modified": [i.mtime for i in inside],
-                }
-                yield pa.RecordBatch.from_pydict(found, schema)
+                for at in range(0, len(inside), 10_000):
+                    some = inside[at : at + 10_000]
+                    found = {
+                        "path": [f"{uri.rstrip('/')}/{i.base_name}" for i in some],
+                        "folder": [i.type == fs.FileType.Directory for i in some],
+                        "length": [i.size or 0 for i in some],
+                        "modified": [i.mtime for i in some],
+                    }
+                    yield pa.RecordBatch.from_pydict(found, schema)
 
     store = new_path(spark, "listing")
     folders, waiting, depth = spark.range(1).select(F.lit(root).alias("path")), 1, 0

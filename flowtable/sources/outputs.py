@@ -8,32 +8,45 @@ from pyspark.sql import functions as F
 from flowtable.functions.common import names
 from flowtable.functions.paths import none_marker
 
+
 def write_outputs(
-    produced: DataFrame, declared: DataFrame, root: str, task: str, item="item_id", strict: bool = False
+    produced: DataFrame,
+    declared: DataFrame,
+    root: str,
+    task: str,
+    item="item_id",
+    strict: bool = False,
+    run: str | None = None,
+    epoch: int = 0,
 ) -> DataFrame:
     """Keep the declared outputs of a task under `root` and return their manifest rows.
 
-    `produced`: item, path, content; `declared`: item, path, optional. Only declared files
-    are kept; a missing optional one leaves its `.none` marker; a missing required one gets
-    status `missing`, which raises if `strict`. One pass writes content and manifest, and
-    the manifest is read back without the content.
+    `produced`: item, path, content; `declared`: item, path, optional. Content goes where its task makes
+    it, to `root`/content, compressed and without a shuffle; the manifest, in `root`/files, is joined from
+    keys and lengths alone. A missing optional file leaves its `.none` marker; a missing required one gets
+    status `missing`, which raises if `strict`. A file that nobody declared is in no manifest. `run` names the
+    folder of this call, `epoch` is kept in every row.
     """
-    keys = [*names(item), "path"]
-    there = F.col("content").isNotNull()
-    kept = declared.join(produced, keys, "left").select(
+    spark, keys, folder = produced.sparkSession, [*names(item), "path"], f"run={run or task}"
+    content = produced.select(
+        *keys, "content", F.octet_length("content").cast("bigint").alias("length"), F.lit(epoch).cast("bigint").alias("epoch")
+    )
+    content.write.option("compression", "gzip").parquet(f"{root}/content/{folder}")
+    made = spark.read.schema(content.schema).parquet(f"{root}/content/{folder}").select(*keys, "length")
+    there = F.col("length").isNotNull()
+    manifest = declared.join(made, keys, "left").select(
+        F.lit(task).alias("task"),
         *names(item),
         F.when(there | ~F.col("optional"), F.col("path")).otherwise(none_marker("path")).alias("path"),
-        F.coalesce(F.octet_length("content"), F.lit(0)).cast("bigint").alias("length"),
-        "content",
-        F.lit(task).alias("task"),
         F.when(there, "file").when(F.col("optional"), "none").otherwise("missing").alias("status"),
+        F.coalesce("length", F.lit(0).cast("bigint")).alias("length"),
+        F.lit(epoch).cast("bigint").alias("epoch"),
     )
-    kept.write.mode("append").partitionBy("task", "status").option("compression", "gzip").parquet(root)
-    schema = kept.schema
-    manifest = produced.sparkSession.read.schema(schema).parquet(root).where(F.col("task") == task)
-    if strict and manifest.where(F.col("status") == "missing").limit(1).count():
+    manifest.write.parquet(f"{root}/files/{folder}")
+    written = spark.read.schema(manifest.schema).parquet(f"{root}/files/{folder}")
+    if strict and not written.where(F.col("status") == "missing").isEmpty():
         raise RuntimeError(f"required outputs of task {task} were not created")
-    return manifest.select("task", *names(item), "path", "status", "length")
+    return written.drop("epoch")
 
 
 def write_status(docs: DataFrame, path: str) -> None:

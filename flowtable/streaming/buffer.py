@@ -25,7 +25,7 @@ def _schemas(sdf: DataFrame, by: str, order: list[str], value: str) -> tuple[str
 
 
 def stream_buffer(
-    sdf: DataFrame, by: str, order, value: str, n: int, root: str, trigger: dict | None = None, limit: int | None = None
+    sdf: DataFrame, by: str, order, value: str, n: int, root: str, trigger: dict | None = None
 ) -> StreamingQuery:
     """Cut each key's items, in order of arrival, into buffers of `n`.
 
@@ -44,7 +44,7 @@ def stream_buffer(
         previous = read_epoch(here, state_at, state_schema, epoch - 1)
         fresh = batch.select(by, F.lit(epoch).cast("bigint").alias("arrived"), *order, F.col(value).alias("value"))
         rows = previous.select(by, F.inline("pending")).unionByName(fresh)
-        cut = number_batches(rows, by, ["arrived", *order], n, "buffer_id", limit).groupBy(by, "buffer_id").agg(
+        cut = number_batches(rows, by, ["arrived", *order], n, "buffer_id").groupBy(by, "buffer_id").agg(
             F.sort_array(F.collect_list(entry)).alias("entries")
         )
         shifted = cut.join(previous.select(by, "done"), by, "left").select(
@@ -72,7 +72,7 @@ def read_buffers(spark: SparkSession, sdf: DataFrame, by: str, order, value: str
     order = names(order)
     lists_schema, state_schema = _schemas(sdf, by, order, value)
     values = F.transform("entries", lambda e: e["value"]).alias("values")
-    newest = last_epoch(spark, f"{root}/state")
+    newest = last_epoch(spark, f"{root}/checkpoint")
     if newest == START:
         return spark.createDataFrame([], lists_schema).select(by, "buffer_id", values)
     result = read_all(spark, f"{root}/lists", lists_schema)

@@ -2,25 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-from flowtable.functions.common import names
+from flowtable.streaming.epochs import START, each_batch, read_all, read_before, start_table, write_epoch
 
+PATHS_SCHEMA = "path string"
 
-def stream_dedup(sdf: DataFrame, path, ts: str, delay: str, salt_by, salts: int = 32) -> DataFrame:
-    """Drop repeats of `path` that arrive within `delay` of each other.
 
-    Two steps: first within `salts` slices of each path (chosen by the columns `salt_by`),
-    then across them, so a path that makes up much of the stream is thinned by many tasks
-    before it meets in one. The watermark is what bounds the state.
+def stream_dedup(sdf: DataFrame, root: str, manifest: DataFrame | None = None, trigger: dict | None = None) -> StreamingQuery:
+    """Pass on each `path` the first time it arrives, however late. Read with `read_paths`.
+
+    What was seen is the manifest: the paths there beforehand, and those of earlier micro-batches. Paths
+    are made distinct on the map side first, so a path that makes up much of a batch is one row.
     """
-    keys = names(path)
-    slice_ = F.pmod(F.xxhash64(*names(salt_by)), F.lit(salts))
-    return (
-        sdf.withColumn("__salt", slice_)
-        .withWatermark(ts, delay)
-        .dropDuplicatesWithinWatermark([*keys, "__salt"])
-        .dropDuplicatesWithinWatermark(keys)
-        .drop("__salt")
-    )
+    spark, at = sdf.sparkSession, f"{root}/paths"
+    before = spark.createDataFrame([], PATHS_SCHEMA) if manifest is None else manifest.select("path")
+    start_table(before, at)
+
+    def handle(batch: DataFrame, epoch: int) -> None:
+        known = read_before(batch.sparkSession, at, PATHS_SCHEMA, epoch)
+        write_epoch(batch.select("path").distinct().join(known, "path", "left_anti"), at, epoch)
+
+    return each_batch(sdf, handle, f"{root}/checkpoint", trigger=trigger, skip_empty=True)
+
+
+def read_paths(spark: SparkSession, root: str) -> DataFrame:
+    """The paths that the stream passed on."""
+    return read_all(spark, f"{root}/paths", PATHS_SCHEMA).where(F.col("epoch") > START).select("path")

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from flowtable.functions.common import names
 from flowtable.session import new_path
 
 START = -1  # the epoch that holds what was there before the stream began
@@ -38,11 +38,16 @@ def read_all(spark: SparkSession, root: str, schema) -> DataFrame:
     return spark.read.schema(_with_epoch(schema)).option("basePath", root).parquet(root)
 
 
-def last_epoch(spark: SparkSession, root: str) -> int:
-    """Highest epoch written, also when it holds no rows: taken from the file names."""
-    # Listing only: no content column is asked for. Parquet files are never empty files.
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return files.select(F.max(F.regexp_extract("path", r"/epoch=(-?\d+)/", 1).cast("bigint"))).first()[0]
+def last_epoch(spark: SparkSession, checkpoint: str) -> int:
+    """The last micro-batch that ended, from the query's commit log (of bounded length, unlike the data)."""
+    try:
+        log = spark.read.format("binaryFile").load(f"{checkpoint}/commits").select("path")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return START
+    newest = log.select(F.max(F.regexp_extract("path", r"/(\d+)$", 1).try_cast("bigint"))).first()[0]
+    return START if newest is None else newest
 
 
 def _with_epoch(schema):
@@ -57,21 +62,16 @@ def each_batch(
     trigger: dict | None = None,
     skip_empty: bool = False,
 ) -> StreamingQuery:
-    """Start a query that hands every micro-batch to `handle`, which may use it repeatedly.
+    """Start a query that hands every micro-batch to `handle`, which may read it repeatedly.
 
     Micro-batches are numbered without gaps, so the state `handle` left last is that of the
     epoch before. `checkpoint` belongs in the shared folder. The default trigger drains what
-    is there.
+    is there; bound a micro-batch at the source (`maxFilesPerTrigger`).
     """
 
     def guarded(batch: DataFrame, epoch: int) -> None:
-        batch.persist()
-        try:
-            # Counting reads the batch once, into the cache.
-            if batch.count() or not skip_empty:
-                handle(batch, epoch)
-        finally:
-            batch.unpersist()
+        if not skip_empty or not batch.isEmpty():
+            handle(batch, epoch)
 
     return _start(sdf, guarded, checkpoint, "append", trigger)
 
@@ -104,15 +104,3 @@ def drain(sdf: DataFrame, label: str) -> DataFrame:
     )
     finish(query)
     return spark.read.schema(sdf.schema).parquet(f"{root}/data")
-
-
-def drain_updates(sdf: DataFrame, keys, label: str) -> DataFrame:
-    """Run an update-mode stream over what is there; the last row of every key remains."""
-    spark, keys = sdf.sparkSession, names(keys)
-    root = new_path(spark, label)
-    finish(_start(sdf, lambda b, e: write_epoch(b, f"{root}/data", e), f"{root}/checkpoint", "update", None))
-    rows = [c for c in sdf.columns if c not in keys]
-    latest = F.max(F.struct("epoch", *rows)).alias("__r")
-    return (
-        read_all(spark, f"{root}/data", sdf.schema).groupBy(*keys).agg(latest).select(*keys, *[f"__r.{c}" for c in rows])
-    )

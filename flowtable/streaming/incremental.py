@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from flowtable.functions.common import names
+from flowtable.functions.paths import none_marker
 from flowtable.operators.incremental import plan_skips
 from flowtable.streaming.epochs import each_batch, read_before, start_table, write_epoch
 
@@ -37,9 +38,12 @@ def stream_incremental(
     def handle(batch: DataFrame, epoch: int) -> None:
         here = batch.sparkSession
         items = batch.dropDuplicates(keys)
-        known = read_before(here, store, STORE_SCHEMA, epoch).select("path")
-        plan = plan_skips(items, declare(items), known, keys)
-        produced = run(plan.where(F.col("action") == "run").drop("action"))
+        outputs = declare(items)
+        # Of the manifest, only what this batch may find; of the items, only keys until they run.
+        asked = outputs.select(F.explode(F.array("path", none_marker("path"))).alias("path"))
+        known = read_before(here, store, STORE_SCHEMA, epoch).select("path").join(asked, "path", "left_semi")
+        plan = plan_skips(items.select(*keys), outputs, known, keys)
+        produced = run(items.join(plan.where(F.col("action") == "run").select(*keys), keys, "left_semi"))
         write_epoch(produced.select("path", "content"), store, epoch)
 
     return each_batch(sdf, handle, f"{root}/checkpoint", trigger=trigger)

@@ -18,9 +18,7 @@ DONE_SCHEMA = "job bigint, outcome string, seq bigint"
 OPEN_SCHEMA = "job bigint, blanks int"
 
 
-def stream_job_outcome(
-    polls: DataFrame, scheduler: str, root: str, trigger: dict | None = None, limit: int | None = None
-) -> StreamingQuery:
+def stream_job_outcome(polls: DataFrame, scheduler: str, root: str, trigger: dict | None = None) -> StreamingQuery:
     """`polls`: job (bigint), seq (bigint, not negative, growing), raw. Read with `read_outcomes`."""
     spark, done_at, open_at = polls.sparkSession, f"{root}/done", f"{root}/open"
     start_table(spark.createDataFrame([], DONE_SCHEMA), done_at)
@@ -37,7 +35,7 @@ def stream_job_outcome(
             F.lit("").alias("raw"),
         )
         polls_now = batch.select("job", "seq", "raw").join(done, "job", "left_anti").unionByName(earlier)
-        outcome = job_outcome(polls_now, scheduler, limit=limit)
+        outcome = job_outcome(polls_now, scheduler)
         write_epoch(outcome.where(F.col("outcome") != "RUNNING"), done_at, epoch)
         decided = read_epoch(here, done_at, DONE_SCHEMA, epoch).select("job")
         latest = Window.partitionBy("job").orderBy(F.col("seq").desc())
@@ -60,6 +58,6 @@ def stream_job_outcome(
 def read_outcomes(spark: SparkSession, root: str) -> DataFrame:
     """(job, outcome, seq) of decided jobs, and RUNNING for the open ones."""
     done = read_all(spark, f"{root}/done", DONE_SCHEMA).drop("epoch")
-    still_open = read_epoch(spark, f"{root}/open", OPEN_SCHEMA, last_epoch(spark, f"{root}/open"))
+    still_open = read_epoch(spark, f"{root}/open", OPEN_SCHEMA, last_epoch(spark, f"{root}/checkpoint"))
     running = still_open.select("job", F.lit("RUNNING").alias("outcome"), F.lit(None).cast("bigint").alias("seq"))
     return done.unionByName(running)

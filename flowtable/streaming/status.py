@@ -1,36 +1,68 @@
-"""Current status of task runs, and reports when something changed."""
+"""Current status of task runs, and reports when something changed.
+
+Every micro-batch writes small records that can be merged in any order; reading merges them. So no state
+grows inside the stream, and rows that come late or out of order count like any other.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from flowtable.operators.history import fold_events
-from flowtable.streaming.epochs import each_batch, write_epoch
+from flowtable.streaming.epochs import each_batch, read_all, write_epoch
 
 # Seconds between reports, by default and at least.
 REPORT_SECONDS = 120
 MIN_REPORT_SECONDS = 10
 
+STATUS_SCHEMA = "id bigint, task_name string, start_time bigint, completion_status string, completed_time bigint"
+COUNTS_SCHEMA = "start timestamp, kind string, n bigint"
+REPORT_SCHEMA = "run_id bigint, status string, n bigint"
 
-def stream_status(events: DataFrame) -> DataFrame:
-    """Task-run records from a stream of start and finish events (run it in update mode)."""
-    return fold_events(events)
 
+def stream_status(events: DataFrame, root: str, trigger: dict | None = None) -> StreamingQuery:
+    """Partial task-run records of a stream of start and finish events. Read with `read_status`."""
 
-def report_counts(events: DataFrame, ts: str = "ts", kind: str = "kind", delay: str = "1 hour",
-                  every: int = REPORT_SECONDS) -> DataFrame:
-    """Events per kind and report interval in event time; an interval without events has no row."""
-    seconds = max(every, MIN_REPORT_SECONDS)
-    return (
-        events.withWatermark(ts, delay)
-        .groupBy(F.window(ts, f"{seconds} seconds").alias("w"), F.col(kind).alias("kind"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select(F.col("w.start").alias("start"), "kind", "n")
+    def handle(batch: DataFrame, epoch: int) -> None:
+        write_epoch(fold_events(batch), f"{root}/status", epoch)
+
+    return each_batch(events, handle, f"{root}/checkpoint", trigger=trigger, skip_empty=True)
+
+
+def read_status(spark: SparkSession, root: str, schema: str = STATUS_SCHEMA) -> DataFrame:
+    """Task-run records: the partial ones of all micro-batches, merged by id."""
+    return read_all(spark, f"{root}/status", schema).groupBy("id").agg(
+        F.max("task_name").alias("task_name"),
+        F.min("start_time").alias("start_time"),
+        F.max_by("completion_status", "completed_time").alias("completion_status"),
+        F.max("completed_time").alias("completed_time"),
     )
 
 
+def report_counts(
+    events: DataFrame, root: str, ts: str = "ts", kind: str = "kind", every: int = REPORT_SECONDS, trigger: dict | None = None
+) -> StreamingQuery:
+    """Count events per kind and report interval in event time. Read with `read_counts`."""
+    seconds = max(every, MIN_REPORT_SECONDS)
+
+    def handle(batch: DataFrame, epoch: int) -> None:
+        counts = (
+            batch.groupBy(F.window(ts, f"{seconds} seconds").alias("w"), F.col(kind).alias("kind"))
+            .agg(F.count(F.lit(1)).alias("n"))
+            .select(F.col("w.start").alias("start"), "kind", "n")
+        )
+        write_epoch(counts, f"{root}/counts", epoch)
+
+    return each_batch(events, handle, f"{root}/checkpoint", trigger=trigger, skip_empty=True)
+
+
+def read_counts(spark: SparkSession, root: str) -> DataFrame:
+    """(start, kind, n) over all micro-batches; an interval without events has no row."""
+    return read_all(spark, f"{root}/counts", COUNTS_SCHEMA).groupBy("start", "kind").agg(F.sum("n").alias("n"))
+
+
 def stream_report(
     task_events: DataFrame, root: str, every: int = REPORT_SECONDS, trigger: dict | None = None
 ) -> StreamingQuery:
@@ -44,3 +76,8 @@ def stream_report(
         write_epoch(batch.groupBy("run_id", "status").agg(F.count(F.lit(1)).alias("n")), f"{root}/reports", epoch)
 
     return each_batch(task_events, handle, f"{root}/checkpoint", trigger=when, skip_empty=True)
+
+
+def read_reports(spark: SparkSession, root: str) -> DataFrame:
+    """(run_id, status, n, epoch): every report."""
+    return read_all(spark, f"{root}/reports", REPORT_SCHEMA)
