@@ -2,9 +2,9 @@
 
 The unit is a white-space word. A run of `k` words is an anchor where the smallest hash among its
 inner runs of `s` words is the first or the last of them: a rule on the run alone, so a passage gives
-the same anchors in any text and at any place. A text of fewer than `k` words has one anchor, all of
-it. The fingerprint is the `keep` smallest distinct anchor hashes, as comma-joined hex; likeness is
-the estimated Jaccard similarity of the two anchor sets.
+the same anchors in any text and at any place. A text of fewer than `k` words, or one where
+no run qualifies, has one anchor, all of it. The fingerprint is the `keep` smallest distinct anchor
+hashes, as comma-joined hex; likeness is the estimated Jaccard similarity of the two anchor sets.
 
 DataFrame functions only. Null: the empty text. A text without words has the anchor of the empty
 word, so empty and blank texts are alike. Equal texts have equal fingerprints.
@@ -41,8 +41,8 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
             chosen = F.filter(F.sequence(F.lit(0), n - k), edge)
             return F.transform(chosen, lambda i: F.struct(i.alias("position"), F.xxhash64(*[h[i + j] for j in range(k)]).alias("hash")))
 
-        short = F.array(F.struct(F.lit(0).alias("position"), F.xxhash64(h).alias("hash")))
-        return F.when(n < k, short).otherwise(let(inner, pick))
+        whole = F.array(F.struct(F.lit(0).alias("position"), F.xxhash64(h).alias("hash")))
+        return F.when(n < k, whole).otherwise(let(let(inner, pick), lambda found: F.when(F.size(found) == 0, whole).otherwise(found)))
 
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\f\r"))
     return let(F.transform(F.split(trimmed, r"\s+"), lambda w: F.xxhash64(w)), of)
