@@ -162,7 +162,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = syncmers.edited_pairs(table(spark, sf_dir, "documents"))
     return rows.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        "doc_id", "next_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
         syncmers.fingerprint(F.col("sketch")).alias("fingerprint"),
         syncmers.fingerprint(F.col("edited_sketch")).alias("edited_fingerprint"),
         syncmers.likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),

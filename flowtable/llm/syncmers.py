@@ -64,7 +64,7 @@ def likeness(a: Column, b: Column, keep: int = KEEP) -> Column:
 
 
 def edited_pairs(docs: DataFrame, keep: int = KEEP) -> DataFrame:
-    """doc_id, n_chars, edited (the text whose last third gives way to the start of the next document's,
+    """doc_id, next_id, n_chars, edited (the text whose last third gives way to the start of the next document's,
     by falling id, after the last the first), sketch, edited_sketch, next_sketch.
 
     Rows with equal id and text count as one document in the order; null ids come last. The order is
@@ -81,10 +81,11 @@ def edited_pairs(docs: DataFrame, keep: int = KEEP) -> DataFrame:
     wants = ranked.select(F.col("key").alias("to"), F.floor(F.col("n") / 3).cast("int").alias("need"), after.alias("pos"))
     asked = wants.join(ranked.select("pos", "key"), "pos").select("key", "to", "need")
     lent = texts.join(asked, "key").select(
-        F.col("to").alias("key"), F.expr("substring(text, 1, need)").alias("borrowed"), F.col("sketch").alias("next_sketch")
+        F.col("to").alias("key"), F.expr("substring(text, 1, need)").alias("borrowed"), F.col("sketch").alias("next_sketch"), F.col("doc_id").alias("next_id")
     )
     both = texts.join(lent.dropDuplicates(["key"]), "key")  # a row repeated as a whole lends once
     edited = F.expr("concat(substring(text, 1, length(text) - length(text) div 3), borrowed)")
+    # next_id is kept so that both joins read the same columns, and so the same exchange, of the texts.
     return both.select(
-        "doc_id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), "sketch", "next_sketch"
+        "doc_id", "next_id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), "sketch", "next_sketch"
     ).withColumn("edited_sketch", sketch(anchors(F.col("edited")), keep))
