@@ -123,7 +123,12 @@ class Best:
     def add(self, at: np.ndarray, scores: np.ndarray, ids: np.ndarray, own: np.ndarray) -> None:
         for i, row in zip(at, scores, strict=True):
             kth = self.kth[i]
-            ok = (row > kth) | ((row == kth) & (ids < self.kth_id[i])) if len(self.lists[i]) == self.k else np.ones(len(row), bool)
+            if len(self.lists[i]) < self.k:
+                ok = np.ones(len(row), bool)
+            elif row.dtype == object:  # beyond 53 bits kth is rounded; the merge below is exact
+                ok = row >= kth - abs(kth) * 1e-12
+            else:
+                ok = (row > kth) | ((row == kth) & (ids < self.kth_id[i]))
             hits = np.flatnonzero(ok.astype(bool) & (ids != own[i]))
             if not len(hits):
                 continue
