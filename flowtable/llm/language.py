@@ -160,10 +160,13 @@ def fit(texts: list[str], langs: list[str], epochs: int = 6, rate: float = 0.3,
 def sample(docs: DataFrame, most: int = DOCS) -> tuple[list[str], list[str]]:
     """Texts and languages of at most `most` documents that are not held out."""
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("i"), F.substring("text", 1, CHARS).alias("t"), F.col("lang").cast("string").alias("l"), held_out("doc_id").alias("h")
-    ).where("t is not null and l is not null and not h")
-    found = rows.orderBy(uniform(F.col("i"), seed="language"), "i", "t").limit(most).collect()
-    return [r.t for r in found], [r.l for r in found]
+        F.col("doc_id").cast("long").alias("i"), "text", F.col("lang").cast("string").alias("l"), held_out("doc_id").alias("h")
+    ).where("i is not null and text is not null and l is not null and not h")
+    # Ids alone are ordered; the texts of at most `most` of them are fetched.
+    few = rows.select("i").distinct().orderBy(uniform(F.col("i"), seed="language"), "i").limit(most)
+    found = rows.join(F.broadcast(few), "i").groupBy("i").agg(F.min(F.struct(F.substring("text", 1, CHARS).alias("t"), "l")).alias("r"))
+    kept = sorted(((r.i, r.r.t, r.r.l) for r in found.collect()), key=lambda r: zlib.crc32(str(r[0]).encode()))
+    return [t for _, t, _ in kept], [lang for *_, lang in kept]
 
 
 class Tagger:
