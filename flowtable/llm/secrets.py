@@ -152,7 +152,8 @@ def redact(docs: DataFrame, ledger: str | None = None, mark: str = "[secret]") -
         )
 
     rest = F.aggregate("__found", start, step, lambda done: F.concat(F.array_join(done.pieces, ""), F.substring(F.col("text"), (done.at + 1).cast("int"), F.length("text"))))
-    joined = docs.withColumn("__blob", address(F.col("text"))).join(hits, "__blob", "left")
+    # Always by sort and merge: one plan at every size.
+    joined = docs.withColumn("__blob", address(F.col("text"))).join(hits.hint("merge"), "__blob", "left")
     clean = F.when(F.col("__found").isNull(), F.col("text")).otherwise(rest)
     size = F.when(F.col("__found").isNull(), F.col("n_chars")).otherwise(F.length("__clean").cast("long"))
     return joined.withColumn("__clean", clean).select(
