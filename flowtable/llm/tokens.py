@@ -20,7 +20,7 @@ ODD = re.compile(rf"[^\t\n\r !-~{LETTERS}]")
 BYTE_PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+"
 WORD_PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\s{LETTERS}0-9]+"
 #: Pieces kept per worker; later ones are encoded again in each batch.
-KEPT = 600_000
+KEPT = 400_000
 
 
 class Encoder:

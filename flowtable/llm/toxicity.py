@@ -35,7 +35,7 @@ TOXIC, ORDINARY, CHARS = 1600, 4000, 200_000
 ORDINARY_BYTES, TOXIC_BYTES = (4096, 8192), ((768, 12), (1024, 16), (1024, 24), (1536, 16))  # tried; bytes and segment lengths
 LEVELS = (2, 3, 4, 5)
 THRESHOLD = 0.3
-KEPT = 500_000  # windows remembered per worker
+KEPT = 300_000  # windows remembered per worker
 WORD = re.compile(r"[^\W\d_]+")
 WIDE, STEP = 48, 24
 PAD = b"\x01" * 24  # the library does not look for matches in the last bytes of its input
