@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -153,8 +154,7 @@ def bands(codes: np.ndarray) -> np.ndarray:
 def portions(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of the batches of bounded text."""
     for batch in batches:
-        sizes = np.asarray(batch.column(column).cast(pa.large_binary()).to_pylist(), dtype=object)
-        sizes = np.cumsum([len(x) for x in sizes])
+        sizes = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
         at = 0
         while at < batch.num_rows:
             before = sizes[at - 1] if at else 0
@@ -177,7 +177,7 @@ def rarity(texts: DataFrame) -> np.ndarray:
         at = np.flatnonzero(counts)
         yield pa.record_batch([pa.array(np.append(at, -1)), pa.array(np.append(counts[at], rows))], names=["bucket", "n"])
 
-    sums = texts.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    sums = texts.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     found = sums.toArrow()  # at most BUCKETS + 1 rows
     df, total = np.zeros(BUCKETS), 0
     for bucket, n in zip(found.column("bucket").to_numpy(), found.column("n").to_numpy(), strict=True):
@@ -351,7 +351,8 @@ def grouped(docs: DataFrame) -> DataFrame:
     unique = stored(drawn.groupBy("t").agg(F.min("doc_id").alias("text_id"), F.first("codes").alias("codes"), F.first("bands").alias("bands")), "near-texts")
     pairs = stored(candidates(unique), "near-pairs")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct()
-    wanted = stored(named.select("t", "text").join(asked, "t", "left_semi").dropDuplicates(["t"]), "near-wanted")
+    # Always by sort and merge: one plan at every size, and no list of texts is sent to every task.
+    wanted = stored(named.select("t", "text").join(asked.hint("merge"), "t", "left_semi").dropDuplicates(["t"]), "near-wanted")
     links = stored(verified(pairs, wanted, idf), "near-verified")
     ends = links.select(F.explode(F.array("a", "b")).alias("t")).groupBy("t").agg(F.count("*").alias("similar"))
     roots = components(links)
@@ -374,4 +375,4 @@ def keep_first(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row.alias("row")))
     found = stored(grouped(docs).groupBy("root").agg(first.alias("first")).select(F.col("first.row").alias("__row")), "near-kept")
     rows = docs.withColumn("__row", F.concat_ws("|", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("none")), key_of(F.col("text"))))
-    return rows.join(found, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
+    return rows.join(found.hint("merge"), "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
