@@ -8,12 +8,14 @@ Document frequencies are counted over all documents, in `BUCKETS` hash buckets.
 
 1. Each text gets `BANDS` x `ROWS` consistent weighted samples; two texts agree on one with the
    probability of their weighted Jaccard similarity. A band is the hash of `ROWS` samples.
-2. Texts that share a band meet. A crowded band is dealt into blocks of `BLOCK` texts; a block links
-   each text to a hub and to its nearest other text by agreeing samples, and adjacent hubs with each
-   other; hubs of the blocks of one band meet again until one block holds them. So the pairs grow with the
-   texts, not with their square.
-3. Every linked pair is verified by exact weighted Jaccard, at least `SIMILARITY`.
-4. Classes are the connected components of the verified links (alternating large and small stars).
+2. Texts that share a band meet; two are near if they agree on `NEAR` samples. First each block of some
+   `BLOCK` texts of a band links every text to a near hub and to its nearest other text, and hubs of the
+   blocks of one band meet again until one block holds them.
+3. Every linked pair is verified by exact weighted Jaccard, at least `SIMILARITY`. Classes are the
+   connected components of the verified links (alternating large and small stars).
+4. Then the bands are gone through again, block against block: near texts still in different components
+   are verified too, the closest pairs of two components first, until none is left untried. So a group of
+   copies costs its links, not its square; only texts that are near but not alike are all compared.
 
 Equal texts are one text from the start, so copies are never compared; null counts as the empty text.
 Texts without a word have no shingle and are alike only if equal. Words: lower-cased runs of letters,
@@ -39,6 +41,7 @@ SAMPLES = BANDS * ROWS
 NEAR = round(0.66 * SAMPLES)  # agreeing samples that a pair needs to be verified: 3 deviations below 0.8
 BUCKETS = 1 << 18
 BLOCK = 1024
+FIRST = 4  # pairs tried at first between two components
 MIX, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 BASE = 0x100000001B3
 AT_ONCE = 1 << 20  # bytes of text worked on at once; a longer text is worked on alone
@@ -188,15 +191,20 @@ def rarity(texts: DataFrame) -> np.ndarray:
     return np.sqrt(1 + np.log((1 + total) / (1 + np.minimum(df, total)))).astype("f4")
 
 
-def linked(codes: np.ndarray) -> tuple[list[tuple[int, int]], list[int]]:
-    """Pairs to verify among the texts of one block, and its hubs."""
+def agreement(codes: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """How many samples each of `codes` shares with each of `others`."""
+    out = np.zeros((len(codes), len(others)), "u1")
+    for one, two in zip(codes.T.copy(), others.T.copy(), strict=True):
+        out += one[:, None] == two[None, :]
+    return out
+
+
+def linked(codes: np.ndarray) -> tuple[list[tuple[int, int]], list[int], bool]:
+    """Pairs to verify first among the texts of one block, its hubs, and whether it has further near pairs."""
     m = len(codes)
     if m == 1:
-        return [], [0]
-    agree = np.stack([(codes == row).sum(1) for row in codes]).astype("i2") if m > 2 else None
-    if agree is None:
-        near = int((codes[0] == codes[1]).sum()) >= NEAR
-        return ([(0, 1)], [0]) if near else ([], [0, 1])
+        return [], [0], False
+    agree = agreement(codes, codes).astype("i2")
     np.fill_diagonal(agree, -1)
     close = agree >= NEAR
     hub_of, hubs, pairs = np.full(m, -1), [], set()
@@ -206,31 +214,38 @@ def linked(codes: np.ndarray) -> tuple[list[tuple[int, int]], list[int]]:
         mine = np.flatnonzero(close[i] & (hub_of < 0))
         hub_of[mine], hub_of[i] = len(hubs), len(hubs)
         hubs.append(int(i))
-        pairs.update((int(i), int(j)) for j in mine)
+        pairs.update((min(int(i), int(j)), max(int(i), int(j))) for j in mine)
     best = agree.argmax(1)
-    pairs.update((int(i), int(best[i])) for i in np.flatnonzero(agree[np.arange(m), best] >= NEAR))
-    if len(hubs) > 1:  # the closest pair of texts between adjacent hubs
-        i, j = np.nonzero(close & (hub_of[:, None] < hub_of[None, :]))
-        order = np.argsort(-agree[i, j], kind="stable")
-        _, top = np.unique(hub_of[i[order]] * len(hubs) + hub_of[j[order]], return_index=True)
-        pairs.update(zip(i[order][top].tolist(), j[order][top].tolist(), strict=True))
-    return list({(min(p), max(p)) for p in pairs}), hubs
+    pairs.update((min(int(i), int(best[i])), max(int(i), int(best[i]))) for i in np.flatnonzero(agree[np.arange(m), best] >= NEAR))
+    return list(pairs), hubs, len(pairs) < int(close.sum()) // 2
+
+
+def crossing(left: list[tuple], right: list[tuple] | None, most: int) -> tuple[list[tuple[str, str]], bool]:
+    """Near pairs of a tile between texts (t, root, codes) of different components, of each two components
+    the closest `most`; and whether there are more. `right` is None where a block meets itself."""
+    others = left if right is None else right
+    codes, roots = [np.frombuffer(b"".join(x[2] for x in side), "<u2").reshape(len(side), SAMPLES) for side in (left, others)], {}
+    one, two = (np.array([roots.setdefault(x[1], len(roots)) for x in side]) for side in (left, others))
+    agree = agreement(*codes)
+    near = (agree >= NEAR) & (one[:, None] != two[None, :])
+    i, j = np.nonzero(np.triu(near) if right is None else near)
+    both = np.minimum(one[i], two[j]) * len(roots) + np.maximum(one[i], two[j])
+    order = np.lexsort((-agree[i, j].astype("i2"), both))
+    i, j, both = i[order], j[order], both[order]
+    first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.zeros(0, "i8")
+    rank = np.arange(len(both)) - np.repeat(first, np.diff(np.append(first, len(both))))
+    keep = rank < most
+    pairs = [(min(left[x][0], others[y][0]), max(left[x][0], others[y][0])) for x, y in zip(i[keep].tolist(), j[keep].tolist(), strict=True)]
+    return pairs, not keep.all()
 
 
 LINK = pa.schema([("a", pa.string()), ("b", pa.string()), ("band", pa.int64())])
+LINK_SQL = "a string, b string, band long"
 
 
-def link_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (band, block, t, codes) sorted by band and block to pairs (a, b, null) and hubs (t, null, band)."""
-    held: list[tuple[str, bytes]] = []
-    now, out = None, []
-
-    def close() -> None:
-        if held:
-            pairs, hubs = linked(np.frombuffer(b"".join(c for _, c in held), "<u2").reshape(len(held), SAMPLES))
-            out.extend((*sorted((held[i][0], held[j][0])), None) for i, j in pairs)
-            out.extend((held[i][0], None, now[0]) for i in hubs)
-            held.clear()
+def by_group(batches: Iterator[pa.RecordBatch], keys: list[str], columns: list[str], links) -> Iterator[pa.RecordBatch]:
+    """`links(key, rows)` of each group of rows with equal keys, sorted by them, as rows of `LINK`."""
+    held, now, out = [], None, []
 
     def flush() -> pa.RecordBatch:
         made = pa.record_batch([pa.array([x[c] for x in out], f.type) for c, f in enumerate(LINK)], schema=LINK)
@@ -238,36 +253,122 @@ def link_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return made
 
     for batch in batches:
-        for band, block, t, code in zip(*(batch.column(c).to_pylist() for c in ("band", "block", "t", "codes")), strict=True):
-            if (band, block) != now:
-                close()
-                now = (band, block)
-            held.append((t, code))
-        if len(out) > 10_000:
-            yield flush()
-    close()
+        named = zip(*(batch.column(c).to_pylist() for c in keys), strict=True)
+        for key, row in zip(named, zip(*(batch.column(c).to_pylist() for c in columns), strict=True), strict=True):
+            if key != now:
+                if held:
+                    out.extend(links(now, held))
+                    if len(out) > 10_000:
+                        yield flush()
+                held, now = [], key
+            held.append(row)
+    if held:
+        out.extend(links(now, held))
     if out:
         yield flush()
 
 
-def candidates(sketches: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of texts to verify. `sketches`: t, codes, bands, one row per text."""
-    members = sketches.select("t", F.explode("bands").alias("band"))
-    found, level = None, 0
+def link_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (band, block, t, codes) sorted by band and block to pairs (a, b, null), hubs (t, null, band) and,
+    where a block has further near pairs, (null, null, band)."""
+
+    def links(key: tuple, held: list[tuple]) -> Iterator[tuple]:
+        pairs, hubs, more = linked(np.frombuffer(b"".join(c for _, c in held), "<u2").reshape(len(held), SAMPLES))
+        yield from ((*sorted((held[i][0], held[j][0])), None) for i, j in pairs)
+        yield from ((held[i][0], None, key[0]) for i in hubs)
+        if more:
+            yield None, None, key[0]
+
+    return by_group(batches, ["band", "block"], ["t", "codes"], links)
+
+
+def stars(sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) to verify first, and the members (t, band) of the bands that may have others.
+    `sketches`: t, codes, bands, one row per text.
+
+    Hubs of a crowded band meet again until one block holds them; other pairs are for `across`.
+    """
+    every = members = sketches.select("t", F.explode("bands").alias("band"))
+    found, opened, level = None, None, 0
     while True:
         crowd = stored(members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "near-bands")
         met = members.join(crowd, "band").select("band", "t", "n")
-        block = F.pmod(F.xxhash64("t", F.lit(level)), F.ceil(F.col("n") / BLOCK))
-        rows = met.select("band", block.alias("block"), "t", (F.col("n") > BLOCK).alias("more")).join(sketches.select("t", "codes"), "t")
+        block = F.pmod(F.xxhash64("t", "band", F.lit(level)), F.ceil(F.col("n") / BLOCK))
+        rows = met.select("band", block.alias("block"), "t").join(sketches.select("t", "codes"), "t")
         # A block holds some BLOCK texts, however many the band has.
         dealt = rows.repartition("band", "block").sortWithinPartitions("band", "block")
-        out = stored(dealt.select("band", "block", "t", "codes").mapInArrow(link_blocks, "a string, b string, band long"), "near-links")
+        out = stored(dealt.select("band", "block", "t", "codes").mapInArrow(link_blocks, LINK_SQL), "near-links")
         pairs = out.where("b is not null").select("a", "b")
         found = pairs if found is None else found.unionAll(pairs)
-        crowded = crowd.where(F.col("n") > BLOCK).select("band")
+        crowded = crowd.where(F.col("n") > BLOCK)
+        if opened is None:
+            opened = out.where("a is null").select("band").unionAll(crowded.select("band")).distinct()
+        hubs = out.where("a is not null and b is null").select(F.col("a").alias("t"), "band")
         if crowded.isEmpty():
-            return found.distinct()
-        members, level = out.where("b is null").select(F.col("a").alias("t"), "band").join(crowded, "band", "left_semi"), level + 1
+            return stored(found.distinct(), "near-pairs"), stored(every.join(opened.hint("merge"), "band", "left_semi"), "near-open")
+        members, level = hubs.join(crowded.select("band"), "band", "left_semi"), level + 1
+
+
+def across(members: DataFrame, roots: DataFrame, sketches: DataFrame, most: int) -> DataFrame:
+    """Rows (a, b, null): near pairs of one band in different components, of each two components in a tile
+    the closest `most`; rows (null, null, band) where that left some out. `members`: t, band.
+
+    A component with over `BLOCK` texts in a band has blocks of its own, the others share blocks; a tile
+    is two blocks, or a block with itself, and blocks of one component do not meet.
+    """
+    named = members.join(roots, "t", "left").select("band", "t", F.coalesce("root", "t").alias("root"))
+    sizes = named.groupBy("band", "root").agg(F.count("*").alias("m"))
+    whole = sizes.groupBy("band").agg(F.count("*").alias("roots"), F.sum(F.when(F.col("m") <= BLOCK, F.col("m")).otherwise(0)).alias("rest"))
+    sizes = stored(sizes.join(whole.where("roots > 1"), "band").select("band", "root", "m", "rest"), "near-sizes")
+    own = F.when(F.col("m") > BLOCK, F.col("root")).otherwise("")
+    count = F.ceil(F.when(F.col("m") > BLOCK, F.col("m")).otherwise(F.col("rest")) / BLOCK).cast("long")
+    blocks = sizes.select("band", own.alias("own"), count.alias("blocks")).distinct()
+    blocks = blocks.select("band", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    x, y = (blocks.select("band", F.struct("own", "block").alias(name)) for name in "xy")
+    tiles = x.join(y, "band").where("x <= y and (x.own <> y.own or x.own = '')")
+    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("x").alias("at")), F.struct(F.lit(1).alias("side"), F.col("y").alias("at")))
+    sides = tiles.select("band", "x", "y", F.explode(F.when(F.col("x") == F.col("y"), F.slice(sides, 1, 1)).otherwise(sides)).alias("s"))
+    sides = sides.select("band", F.concat_ws("/", "x.own", "x.block", "y.own", "y.block").alias("tile"), "s.side", F.col("s.at.own").alias("own"), F.col("s.at.block").alias("block"))
+    placed = named.join(sizes, ["band", "root"]).select("band", "t", "root", own.alias("own"), F.pmod(F.xxhash64("t", "band"), count).alias("block"))
+    rows = placed.join(sketches.select("t", "codes"), "t").join(sides, ["band", "own", "block"])
+    dealt = rows.repartition("band", "tile").sortWithinPartitions("band", "tile")
+
+    def links(key: tuple, held: list[tuple]) -> Iterator[tuple]:
+        left, right = ([row[1:] for row in held if row[0] == side] for side in (0, 1))
+        if key[1].split("/")[:2] == key[1].split("/")[2:]:
+            right = None
+        elif not left or not right:
+            return
+        pairs, more = crossing(left, right, most)
+        yield from ((a, b, None) for a, b in pairs)
+        if more:
+            yield None, None, key[0]
+
+    return dealt.select("band", "tile", "side", "t", "root", "codes").mapInArrow(lambda batches: by_group(batches, ["band", "tile"], ["side", "t", "root", "codes"], links), LINK_SQL)
+
+
+def resolved(sketches: DataFrame, named: DataFrame, idf) -> tuple[DataFrame, DataFrame]:
+    """Verified links, and t, root of their components: any two texts of a band that are near by their
+    samples are verified, or their texts are in one component without it. `named`: t, text."""
+    pairs, members = stars(sketches)
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("t")).unionAll(members.select("t")).distinct()
+    # Always by sort and merge: one plan at every size, and no list of texts is sent to every task.
+    wanted = stored(named.select("t", "text").join(asked.hint("merge"), "t", "left_semi").dropDuplicates(["t"]), "near-wanted")
+    links = stored(verified(pairs, wanted, idf), "near-verified")
+    roots, most = stored(components(links), "near-roots"), FIRST
+    while not members.isEmpty():
+        out = stored(across(members, roots, sketches, most), "near-across")
+        fresh = stored(out.where("b is not null").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "near-pairs")
+        ends = fresh.select(F.explode(F.array("a", "b")).alias("t")).distinct()
+        more = stored(verified(fresh, wanted.join(ends.hint("merge"), "t", "left_semi"), idf), "near-verified")
+        pairs = pairs.unionAll(fresh)
+        if not more.isEmpty():
+            links = links.unionAll(more)
+            roots = stored(components(links), "near-roots")
+        # Only bands with pairs left out go on; `most` outgrows every tile, so this ends.
+        opened = out.where("a is null").select("band").distinct()
+        members, most = stored(members.join(opened, "band", "left_semi"), "near-open"), most * 16
+    return links, roots
 
 
 def similarity(texts: list[str], others: list[str], idf: np.ndarray) -> np.ndarray:
@@ -349,13 +450,8 @@ def grouped(docs: DataFrame) -> DataFrame:
 
     drawn = stored(named.mapInArrow(sketch, "doc_id long, t string, codes binary, bands array<long>"), "near-sketches")
     unique = stored(drawn.groupBy("t").agg(F.min("doc_id").alias("text_id"), F.first("codes").alias("codes"), F.first("bands").alias("bands")), "near-texts")
-    pairs = stored(candidates(unique), "near-pairs")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct()
-    # Always by sort and merge: one plan at every size, and no list of texts is sent to every task.
-    wanted = stored(named.select("t", "text").join(asked.hint("merge"), "t", "left_semi").dropDuplicates(["t"]), "near-wanted")
-    links = stored(verified(pairs, wanted, idf), "near-verified")
+    links, roots = resolved(unique, named, idf)
     ends = links.select(F.explode(F.array("a", "b")).alias("t")).groupBy("t").agg(F.count("*").alias("similar"))
-    roots = components(links)
     known = unique.select("t", "text_id").join(roots, "t", "left").join(ends, "t", "left")
     known = stored(known.select("t", "text_id", F.coalesce("root", "t").alias("root"), F.coalesce("similar", F.lit(0)).alias("similar")), "near-known")
     least = stored(known.groupBy("root").agg(F.min("text_id").alias("class_id"), F.count("*").alias("class_texts")), "near-classes")
