@@ -10,7 +10,7 @@ Document frequencies are counted over all documents, in `BUCKETS` hash buckets.
    probability of their weighted Jaccard similarity. A band is the hash of `ROWS` samples.
 2. Texts that share a band meet; two are near if they agree on `NEAR` samples. First each block of some
    `BLOCK` texts of a band links every text to a near hub and to its nearest other text, and hubs of the
-   blocks of one band meet again until one block holds them.
+   blocks of one band meet again while that at least halves them.
 3. Every linked pair is verified by exact weighted Jaccard, at least `SIMILARITY`. Classes are the
    connected components of the verified links (alternating large and small stars).
 4. Then the bands are gone through again, block against block: near texts still in different components
@@ -286,7 +286,7 @@ def stars(sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) to verify first, and the members (t, band) of the bands that may have others.
     `sketches`: t, codes, bands, one row per text.
 
-    Hubs of a crowded band meet again until one block holds them; other pairs are for `across`.
+    Hubs of a crowded band meet again while a level at least halves them; what is left is for `across`.
     """
     every = members = sketches.select("t", F.explode("bands").alias("band"))
     found, opened, level = None, None, 0
@@ -304,9 +304,10 @@ def stars(sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
         if opened is None:
             opened = out.where("a is null").select("band").unionAll(crowded.select("band")).distinct()
         hubs = out.where("a is not null and b is null").select(F.col("a").alias("t"), "band")
-        if crowded.isEmpty():
+        fallen = stored(hubs.groupBy("band").agg(F.count("*").alias("hubs")).join(crowded, "band").where("2 * hubs <= n").select("band"), "near-fallen")
+        if fallen.isEmpty():
             return stored(found.distinct(), "near-pairs"), stored(every.join(opened.hint("merge"), "band", "left_semi"), "near-open")
-        members, level = hubs.join(crowded.select("band"), "band", "left_semi"), level + 1
+        members, level = hubs.join(fallen, "band", "left_semi"), level + 1
 
 
 def across(members: DataFrame, roots: DataFrame, sketches: DataFrame, most: int) -> DataFrame:
