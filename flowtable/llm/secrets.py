@@ -35,16 +35,24 @@ class Rule:
     base: bool = True
 
 
+# A private key from BEGIN to END. A text without five dashes lies between; where no END follows, the key is
+# the header lines and base64 runs (a shorter last line included). Possessive groups: the regex engine loops, it does not recurse.
+_LABEL = r"[A-Z0-9 ]*?PRIVATE KEY(?: BLOCK)?-----"
+_BREAK = r"(?:\s|\\[nr])++"
+PEM = (
+    rf"-----BEGIN {_LABEL}(?:[^-]*+(?:-{{1,4}}[^-]++)*+-----END {_LABEL}"
+    rf"|(?:{_BREAK}(?:[A-Z][A-Za-z-]*+: [^\r\n\\]*+|[A-Za-z0-9+/=]{{16,}}+))++(?:\s*[\r\n][A-Za-z0-9+/=]++(?=[ \t]*(?:[\r\n]|$)))?+)?+"
+)
 # The base patterns. A greedy run with a least length equals the run filtered by length;
 # for `assign`, whose failing matches use up text, the filter stays apart.
 RULES = (
     Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
     Rule("access", r"AKIA[A-Z0-9]{14,}"),
     Rule("hex", r"[0-9a-f]{16,}"),
-    Rule("pem", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", base=False),
+    Rule("pem", PEM, base=False),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", base=False),
 )
-VERSION = "1"
+VERSION = "1.1"
 FOUND = "array<struct<start:bigint,rank:int,stop:bigint,kind:string,base:boolean>>"
 
 
