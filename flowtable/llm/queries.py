@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import os
 import re
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowtable.llm import language, mixing, near_dedup, packing, secrets, syncmers, token_files, topk, toxicity, url_rules
+from flowtable.llm import filter_audit, language, mixing, near_dedup, packing, secrets, spelling, syncmers, token_files, topk, toxicity, url_rules
 from flowtable.llm.common import table
 from flowtable.session import new_path
 
@@ -221,3 +222,85 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language.identify(docs, language.fit(*language.sample(docs)))
+
+
+# The checksum of a byte string by the table of its 256 remainders.
+CRC_TABLE = [zlib.crc32(bytes([255 ^ i])) ^ 0xFF000000 for i in range(256)]
+SPELLING_SQL = f"""
+WITH RECURSIVE found AS (
+  SELECT coalesce(doc_id::varchar, '') AS id, unnest(regexp_extract_all(text, '{spelling.RUN}')) AS r FROM documents
+), runs AS (
+  SELECT id, translate(r, '{spelling.CAPITALS}', '{spelling.SMALL}') AS r FROM found
+), hashed AS (
+  SELECT r, xor(list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(id || ':' || r, ''), lambda c:
+      CASE WHEN unicode(c) < 128 THEN [unicode(c)::bigint] ELSE [192 + unicode(c) // 64, 128 + unicode(c) % 64] END))),
+    lambda c, b: xor(c >> 8, {CRC_TABLE}[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM runs
+), counted AS (
+  SELECT CASE WHEN h % {spelling.SLIPS} = 0 THEN substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS word FROM hashed
+), known AS (
+  SELECT word, count(*) AS n FROM counted WHERE length(word) >= {spelling.LEAST} GROUP BY word HAVING n >= {spelling.TWICE}
+), cut AS (
+  SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM known)
+), near AS (
+  SELECT a.word, b.word AS other FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word FROM known a JOIN cut b ON a.word = b.rest
+  UNION SELECT b.word, a.word FROM known a JOIN cut b ON a.word = b.rest
+), ranked AS (
+  SELECT a.word, count(*) OVER (PARTITION BY a.word) AS n_near, b.n >= {spelling.TIMES} * a.n AS fits, b.word AS form, b.n AS form_n,
+    row_number() OVER (PARTITION BY a.word ORDER BY b.n DESC, b.word) AS i
+  FROM near JOIN known a ON near.word = a.word JOIN known b ON near.other = b.word
+), formed AS (
+  SELECT known.word, known.n, coalesce(n_near, 0) AS n_near, CASE WHEN fits THEN form END AS form, CASE WHEN fits THEN form_n END AS form_n
+  FROM known LEFT JOIN ranked ON known.word = ranked.word AND i = 1
+), chain AS (
+  SELECT word, word AS root, 0 AS steps FROM formed
+  UNION ALL SELECT chain.word, form, steps + 1 FROM chain JOIN formed ON chain.root = formed.word WHERE form IS NOT NULL
+)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN (SELECT word, arg_max(root, steps) AS root FROM chain GROUP BY word) USING (word)
+"""
+
+
+@query("op12_spelling", SPELLING_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+AUDIT_SQL = """
+WITH words AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+), marked AS (
+  SELECT doc_id, part, (len(words) < 200)::int + 2 * (100 * list_unique(words) < 50 * len(words))::int
+    + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text))::int + 8 * regexp_matches(text, '[#$%&*|]')::int
+    + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)::int AS mask FROM words
+), known AS (
+  SELECT doc_id, max((quality = 1)::int) AS q, max((toxic = 1)::int) AS t FROM labels GROUP BY doc_id
+), held AS (
+  SELECT part, mask, count(*) AS n, count(*) FILTER (q = 1) AS good, count(*) FILTER (t = 1) AS toxic
+  FROM marked LEFT JOIN known USING (doc_id) GROUP BY part, mask
+), f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS name, unnest([1, 2, 4, 8, 16]) AS bit
+), orders AS (
+  SELECT a.name || b.name || c.name || d.name || e.name AS filter_order
+  FROM f a JOIN f b ON b.name <> a.name JOIN f c ON c.name NOT IN (a.name, b.name)
+    JOIN f d ON d.name NOT IN (a.name, b.name, c.name) JOIN f e ON e.name NOT IN (a.name, b.name, c.name, d.name)
+), steps AS (
+  SELECT filter_order, step, f.name AS filter, f.bit,
+    coalesce((SELECT sum(g.bit) FROM f g WHERE instr(filter_order, g.name) < step), 0)::int AS before
+  FROM orders, range(1, 6) r(step) JOIN f ON f.name = substr(filter_order, step, 1)
+), seen AS (
+  SELECT part, filter_order, step::int AS step, filter, n, good, toxic, mask = bit AS only_here,
+    (mask & bit) <> 0 AS fails, (mask & before) <> 0 AS earlier FROM held, steps
+), counted AS (
+  SELECT part, filter_order, step, filter, sum(CASE WHEN NOT fails AND NOT earlier THEN n ELSE 0 END)::bigint AS kept,
+    sum(CASE WHEN fails AND NOT earlier THEN n ELSE 0 END)::bigint AS removed, sum(CASE WHEN fails AND earlier THEN n ELSE 0 END)::bigint AS redundant,
+    sum(CASE WHEN only_here THEN n ELSE 0 END)::bigint AS unique_fails, sum(CASE WHEN fails AND NOT earlier THEN good ELSE 0 END)::bigint AS good_lost,
+    sum(CASE WHEN fails AND NOT earlier THEN toxic ELSE 0 END)::bigint AS toxic_lost
+  FROM seen GROUP BY ALL
+)
+SELECT *, sum(removed) OVER (PARTITION BY part, filter)::bigint AS shapley FROM counted
+"""
+
+
+@query("op13_filter_audit", AUDIT_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
