@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowtable.llm import filter_audit, language, mixing, near_dedup, packing, secrets, spelling, syncmers, token_files, topk, toxicity, url_rules
+from flowtable.llm import filter_audit, language, mixing, near_dedup, packing, secrets, spelling, syncmers, templates, token_files, topk, toxicity, url_rules
 from flowtable.llm.common import table
 from flowtable.session import new_path
 
@@ -224,6 +224,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, language.fit(*language.sample(docs)))
 
 
+@query("op11_page_text")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.extract(table(spark, sf_dir, "pages"))
+
+
 # The checksum of a byte string by the table of its 256 remainders.
 CRC_TABLE = [zlib.crc32(bytes([255 ^ i])) ^ 0xFF000000 for i in range(256)]
 SPELLING_SQL = f"""
