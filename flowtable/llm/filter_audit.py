@@ -8,8 +8,8 @@ of several bytes) whose terminals hold the least id that ended there; a document
 1. Each input partition has tries of its own, a new one after `AT_ONCE` bytes. A row whose text has a
    smaller id there is decided; of a group of copies one row per trie goes on, whatever the group's size.
 2. What goes on is range-partitioned by a prefix of its text. The prefix is `FIRST` code points long, and grows
-   `GROW` times where the texts that begin with it hold over `TARGET` bytes, so a common beginning does not
-   crowd a task; equal texts have equal prefixes. Tries of a partition start anew between prefixes.
+   `GROW` times where the texts that begin with it hold over one in `PIECES` of all bytes (`LEAST` at least and
+   `TARGET` at most), so a common beginning does not crowd a task; equal texts have equal prefixes. Tries of a partition start anew between prefixes.
 3. Masks are reduced to counts by part, mask and label: at most 32 a part. All 120 orders follow from them.
 
 Null text: the empty text, which is a text as any other. Null source: the empty part. A null id is neither
@@ -38,6 +38,7 @@ WORDS, DISTINCT, CAPITALS = 200, 50, 2  # at least; percent at least; percent at
 MARKS = re.compile(rb"[#$%&*|]")
 SMALL = bytes(sorted({*range(256)} - {*range(65, 91)}))
 AT_ONCE = TARGET = 16 << 20
+PIECES, LEAST = 256, 64 << 10
 FIRST, GROW = 8, 4
 
 
@@ -185,7 +186,9 @@ def with_prefix(rows: DataFrame, target: int | None = None) -> DataFrame:
     A prefix is crowded if the longer texts that begin with it hold over `target` bytes. Crowded ones
     are known by a hash: 8 bytes for each `target` bytes of text at most, so that table is broadcast.
     """
-    target = TARGET if target is None else target
+    if target is None:
+        total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        target = min(TARGET, max(LEAST, total // PIECES))
     length, rest, out, key, level = FIRST, rows, rows, None, 0
     fit, beyond = [], F.lit(True)
     while True:

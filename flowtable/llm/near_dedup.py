@@ -13,9 +13,11 @@ Document frequencies are counted over all documents, in `BUCKETS` hash buckets.
    blocks of one band meet again while that at least halves them.
 3. Every linked pair is verified by exact weighted Jaccard, at least `SIMILARITY`. Classes are the
    connected components of the verified links (alternating large and small stars).
-4. Then the bands are gone through again, block against block: near texts still in different components
-   are verified too, the closest pairs of two components first, until none is left untried. So a group of
-   copies costs its links, not its square; only texts that are near but not alike are all compared.
+4. Near texts by their samples form loose components: the bands are gone through again, block against block, for
+   what joins two of them. A loose component that holds several classes is then compared exactly, block against
+   block, from texts that are carried once per block pair: overlaps of all near texts of different classes are
+   one product of sparse rows, and only a spanning forest of the links found leaves the task. So the rows of
+   a group of near but unlike texts grow with its blocks, not with its pairs.
 
 Equal texts are one text from the start, so copies are never compared; null counts as the empty text.
 Texts without a word have no shingle and are alike only if equal. Words: lower-cased runs of letters,
@@ -41,7 +43,7 @@ SAMPLES = BANDS * ROWS
 NEAR = round(0.66 * SAMPLES)  # agreeing samples that a pair needs to be verified: 3 deviations below 0.8
 BUCKETS = 1 << 18
 BLOCK = 1024
-FIRST = 4  # pairs tried at first between two components
+TILE, TILE_BYTES, COLUMNS = 2048, 16 << 20, 4096  # texts and bytes of a block that is compared exactly; shingles at once
 MIX, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 BASE = 0x100000001B3
 AT_ONCE = 1 << 20  # bytes of text worked on at once; a longer text is worked on alone
@@ -76,10 +78,10 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return mixed((sums[after] - sums[first]) * down[first] + (after - first).astype("u8") * MIX), np.searchsorted(ends, first, side="right")
 
 
-def shingles(words: np.ndarray, owner: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles by owner, then hash: owner, hash, weight."""
+def shingles(words: np.ndarray, owner: np.ndarray, idf: np.ndarray, counts: bool = False) -> tuple[np.ndarray, ...]:
+    """Distinct shingles by owner, then hash: owner, hash, weight; with `counts`, how often each stands there, too."""
     if not len(words):
-        return owner, words, np.zeros(0, "f4")
+        return (owner, words, np.zeros(0, "f4"), np.zeros(0, "i8"))[: 3 + counts]
     rare = idf[(words >> np.uint64(40)).astype("i8") % BUCKETS]
     sizes = np.bincount(owner)
     short = sizes[owner] < SHINGLE
@@ -98,7 +100,7 @@ def shingles(words: np.ndarray, owner: np.ndarray, idf: np.ndarray) -> tuple[np.
     o, h, w = o[order], h[order], w[order]
     new = np.flatnonzero(np.concatenate([[True], (o[1:] != o[:-1]) | (h[1:] != h[:-1])]))
     count = np.diff(np.append(new, len(o)))
-    return o[new], h[new], (w[new] * count).astype("f4")
+    return (o[new], h[new], (w[new] * count).astype("f4"), count)[: 3 + counts]
 
 
 @functools.cache
@@ -220,23 +222,91 @@ def linked(codes: np.ndarray) -> tuple[list[tuple[int, int]], list[int], bool]:
     return list(pairs), hubs, len(pairs) < int(close.sum()) // 2
 
 
-def crossing(left: list[tuple], right: list[tuple] | None, most: int) -> tuple[list[tuple[str, str]], bool]:
-    """Near pairs of a tile between texts (t, root, codes) of different components, of each two components
-    the closest `most`; and whether there are more. `right` is None where a block meets itself."""
-    others = left if right is None else right
-    codes, roots = [np.frombuffer(b"".join(x[2] for x in side), "<u2").reshape(len(side), SAMPLES) for side in (left, others)], {}
+def forest(pairs: np.ndarray, count: int) -> list[int]:
+    """Which rows of `pairs` (numbers below `count`) to keep so that they join what all of them join."""
+    root, kept = list(range(count)), []
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    low, high = pairs.min(1), pairs.max(1)
+    _, first = np.unique(low.astype("i8") * count + high, return_index=True)
+    for at in np.sort(first).tolist():
+        a, b = find(int(low[at])), find(int(high[at]))
+        if a != b:
+            root[a] = b
+            kept.append(at)
+    return kept
+
+
+def crossing(left: list[tuple], right: list[tuple] | None, idf: np.ndarray | None = None) -> list[tuple[str, str]]:
+    """Links between texts (t, root, codes) of a tile that join different roots, no more than join them all: near ones,
+    or with `idf`, by their texts as a fourth value, alike ones. `right` is None where a block meets itself."""
+    others, roots = left if right is None else right, {}
+    codes = [np.frombuffer(b"".join(x[2] for x in side), "<u2").reshape(len(side), SAMPLES) for side in (left, others)]
     one, two = (np.array([roots.setdefault(x[1], len(roots)) for x in side]) for side in (left, others))
-    agree = agreement(*codes)
-    near = (agree >= NEAR) & (one[:, None] != two[None, :])
-    i, j = np.nonzero(np.triu(near) if right is None else near)
-    both = np.minimum(one[i], two[j]) * len(roots) + np.maximum(one[i], two[j])
-    order = np.lexsort((-agree[i, j].astype("i2"), both))
-    i, j, both = i[order], j[order], both[order]
-    first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.zeros(0, "i8")
-    rank = np.arange(len(both)) - np.repeat(first, np.diff(np.append(first, len(both))))
-    keep = rank < most
-    pairs = [(min(left[x][0], others[y][0]), max(left[x][0], others[y][0])) for x, y in zip(i[keep].tolist(), j[keep].tolist(), strict=True)]
-    return pairs, not keep.all()
+    near = (agreement(*codes) >= NEAR) & (one[:, None] != two[None, :])
+    if right is None:
+        near = np.triu(near)
+    if idf is not None and near.any():
+        some, rest = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
+        inside = np.zeros_like(near)
+        inside[np.ix_(some, rest)] = alike([left[i][3] for i in some], [others[j][3] for j in rest], near[np.ix_(some, rest)], idf)
+        near = inside
+    i, j = np.nonzero(near)
+    kept = forest(np.stack([one[i], two[j]], 1), len(roots)) if len(i) else []
+    return [(min(left[i[x]][0], others[j[x]][0]), max(left[i[x]][0], others[j[x]][0])) for x in kept]
+
+
+def alike(texts: list[str], others: list[str], asked: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Of the pairs `asked`, those whose exact weighted Jaccard similarity is at least `SIMILARITY`.
+
+    A shingle that stands c times counts as c different ones of equal weight, so shared weight is a sum over
+    what both hold: a product of two matrices, `COLUMNS` shingles at a time, of those that both sides hold.
+    """
+    bags = []
+    for side in (texts, others):
+        owner, hashes, weights = [], [], []
+        at = 0
+        while at < len(side):  # bounded bytes at once
+            to, size = at, 0
+            while to < len(side) and (to == at or size + len(side[to]) <= AT_ONCE):
+                size += len(side[to])
+                to += 1
+            o, h, w, n = shingles(*word_hashes(side[at:to]), idf, counts=True)
+            level = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            owner.append(np.repeat(o, n) + at)
+            hashes.append(mixed(np.repeat(h, n) + level.astype("u8") * MIX))
+            weights.append(np.repeat(w / n, n))
+            at = to
+        bags.append([np.concatenate(x) for x in (owner, hashes, weights)])
+    total = [np.bincount(o, w, minlength=len(side)) for (o, _, w), side in zip(bags, (texts, others), strict=True)]
+    both = np.intersect1d(bags[0][1], bags[1][1])
+    shared = np.zeros(asked.shape)
+    placed = []
+    for o, h, w in bags:
+        at = np.searchsorted(both, h)
+        held = (at < len(both)) & (both[np.minimum(at, max(len(both) - 1, 0))] == h) if len(both) else np.zeros(len(h), bool)
+        order = np.argsort(at[held], kind="stable")
+        placed.append((o[held][order], at[held][order], np.sqrt(w[held][order])))
+    for start in range(0, len(both), COLUMNS):
+        dense = []
+        for (o, at, w), side in zip(placed, (texts, others), strict=True):
+            x, y = np.searchsorted(at, [start, start + COLUMNS])
+            block = np.zeros((len(side), min(COLUMNS, len(both) - start)), "f4")
+            block[o[x:y], at[x:y] - start] = w[x:y]
+            dense.append(block)
+        shared += dense[0] @ dense[1].T
+    whole = total[0][:, None] + total[1][None, :] - shared
+    score = np.divide(shared, whole, out=np.zeros_like(shared), where=whole > 0)
+    found = asked & (score >= SIMILARITY)
+    edge = np.argwhere(asked & (np.abs(score - SIMILARITY) < 1e-4))  # sums of short floats: ask again
+    if len(edge):
+        found[tuple(edge.T)] = similarity([texts[i] for i, _ in edge], [others[j] for _, j in edge], idf) >= SIMILARITY - 1e-9
+    return found
 
 
 LINK = pa.schema([("a", pa.string()), ("b", pa.string()), ("band", pa.int64())])
@@ -310,29 +380,38 @@ def stars(sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
         members, level = hubs.join(fallen, "band", "left_semi"), level + 1
 
 
-def across(members: DataFrame, roots: DataFrame, sketches: DataFrame, most: int) -> DataFrame:
-    """Rows (a, b, null): near pairs of one band in different components, of each two components in a tile
-    the closest `most`; rows (null, null, band) where that left some out. `members`: t, band.
+def tiled(rows: DataFrame, payload: DataFrame, block: int, size: int) -> DataFrame:
+    """group, tile, side, t, root and the columns of `payload` (by t): the texts of `rows` (group, t, root, size) of each
+    group with several roots, dealt over pairs of blocks so that texts of different roots meet.
 
-    A component with over `BLOCK` texts in a band has blocks of its own, the others share blocks; a tile
-    is two blocks, or a block with itself, and blocks of one component do not meet.
+    A root with over `block` texts or `size` bytes in a group has blocks of its own, the others share blocks; a
+    tile is two blocks, or a block with itself, and blocks of one root do not meet.
     """
-    named = members.join(roots, "t", "left").select("band", "t", F.coalesce("root", "t").alias("root"))
-    sizes = named.groupBy("band", "root").agg(F.count("*").alias("m"))
-    whole = sizes.groupBy("band").agg(F.count("*").alias("roots"), F.sum(F.when(F.col("m") <= BLOCK, F.col("m")).otherwise(0)).alias("rest"))
-    sizes = stored(sizes.join(whole.where("roots > 1"), "band").select("band", "root", "m", "rest"), "near-sizes")
-    own = F.when(F.col("m") > BLOCK, F.col("root")).otherwise("")
-    count = F.ceil(F.when(F.col("m") > BLOCK, F.col("m")).otherwise(F.col("rest")) / BLOCK).cast("long")
-    blocks = sizes.select("band", own.alias("own"), count.alias("blocks")).distinct()
-    blocks = blocks.select("band", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    x, y = (blocks.select("band", F.struct("own", "block").alias(name)) for name in "xy")
-    tiles = x.join(y, "band").where("x <= y and (x.own <> y.own or x.own = '')")
+    sizes = rows.groupBy("group", "root").agg(F.count("*").alias("m"), F.sum("size").alias("bytes"))
+    sizes = sizes.withColumn("blocks", F.ceil(F.greatest(F.col("m") / block, F.col("bytes") / size)).cast("long"))
+    small = lambda c: F.sum(F.when(F.col("blocks") <= 1, F.col(c)).otherwise(0))
+    whole = sizes.groupBy("group").agg(F.count("*").alias("roots"), small("m").alias("rest"), small("bytes").alias("rest_bytes"))
+    shared = F.greatest(F.col("rest") / block, F.col("rest_bytes") / size)
+    sizes = stored(
+        sizes.join(whole.where("roots > 1"), "group").select(
+            "group", "root", F.when(F.col("blocks") > 1, F.col("root")).otherwise("").alias("own"),
+            F.when(F.col("blocks") > 1, F.col("blocks")).otherwise(F.ceil(shared)).cast("long").alias("blocks"),
+        ), "near-sizes",
+    )
+    blocks = sizes.select("group", "own", "blocks").distinct()
+    blocks = blocks.select("group", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    x, y = (blocks.select("group", F.struct("own", "block").alias(name)) for name in "xy")
+    tiles = x.join(y, "group").where("x <= y and (x.own <> y.own or x.own = '')")
     sides = F.array(F.struct(F.lit(0).alias("side"), F.col("x").alias("at")), F.struct(F.lit(1).alias("side"), F.col("y").alias("at")))
-    sides = tiles.select("band", "x", "y", F.explode(F.when(F.col("x") == F.col("y"), F.slice(sides, 1, 1)).otherwise(sides)).alias("s"))
-    sides = sides.select("band", F.concat_ws("/", "x.own", "x.block", "y.own", "y.block").alias("tile"), "s.side", F.col("s.at.own").alias("own"), F.col("s.at.block").alias("block"))
-    placed = named.join(sizes, ["band", "root"]).select("band", "t", "root", own.alias("own"), F.pmod(F.xxhash64("t", "band"), count).alias("block"))
-    rows = placed.join(sketches.select("t", "codes"), "t").join(sides, ["band", "own", "block"])
-    dealt = rows.repartition("band", "tile").sortWithinPartitions("band", "tile")
+    sides = tiles.select("group", "x", "y", F.explode(F.when(F.col("x") == F.col("y"), F.slice(sides, 1, 1)).otherwise(sides)).alias("s"))
+    sides = sides.select("group", F.concat_ws("/", "x.own", "x.block", "y.own", "y.block").alias("tile"), "s.side", F.col("s.at.own").alias("own"), F.col("s.at.block").alias("block"))
+    placed = rows.join(sizes, ["group", "root"]).select("group", "t", "root", "own", F.pmod(F.xxhash64("t", "group"), "blocks").alias("block"))
+    full = placed.join(payload.hint("merge"), "t").join(sides, ["group", "own", "block"])
+    return full.repartition("group", "tile").sortWithinPartitions("group", "tile").select("group", "tile", "side", "t", "root", *[c for c in payload.columns if c != "t"])
+
+
+def met(tiles: DataFrame, columns: list[str], idf=None) -> DataFrame:
+    """a, b: the links of `crossing` in each tile."""
 
     def links(key: tuple, held: list[tuple]) -> Iterator[tuple]:
         left, right = ([row[1:] for row in held if row[0] == side] for side in (0, 1))
@@ -340,35 +419,44 @@ def across(members: DataFrame, roots: DataFrame, sketches: DataFrame, most: int)
             right = None
         elif not left or not right:
             return
-        pairs, more = crossing(left, right, most)
-        yield from ((a, b, None) for a, b in pairs)
-        if more:
-            yield None, None, key[0]
+        yield from ((a, b, None) for a, b in crossing(left, right, None if idf is None else idf.value))
+
+    run = lambda batches: by_group(batches, ["group", "tile"], ["side", "t", "root", *columns], links)
+    return tiles.mapInArrow(run, LINK_SQL).select("a", "b")
+
+
+def across(members: DataFrame, loose: DataFrame, sketches: DataFrame) -> DataFrame:
+    """a, b: near texts of one band that join loose components. `members`: t, band; `loose`: t, root."""
+    named = members.join(loose, "t", "left").select(F.col("band").cast("string").alias("group"), "t", F.coalesce("root", "t").alias("root"), F.lit(0).alias("size"))
+    return met(tiled(named, sketches.select("t", "codes"), BLOCK, 1), ["codes"])
+
 
-    return dealt.select("band", "tile", "side", "t", "root", "codes").mapInArrow(lambda batches: by_group(batches, ["band", "tile"], ["side", "t", "root", "codes"], links), LINK_SQL)
+def within(loose: DataFrame, roots: DataFrame, sketches: DataFrame, texts: DataFrame, idf) -> DataFrame:
+    """a, b: alike texts that join classes inside a loose component. `loose`, `roots`: t, root; `texts`: t, text."""
+    named = loose.select("t", F.col("root").alias("group")).join(roots, "t", "left").join(sketches.select("t", "size"), "t")
+    rows = named.select("group", "t", F.coalesce("root", "t").alias("root"), "size")
+    return met(tiled(rows, sketches.select("t", "codes").join(texts.hint("merge"), "t"), TILE, TILE_BYTES), ["codes", "text"], idf)
 
 
 def resolved(sketches: DataFrame, named: DataFrame, idf) -> tuple[DataFrame, DataFrame]:
     """Verified links, and t, root of their components: any two texts of a band that are near by their
-    samples are verified, or their texts are in one component without it. `named`: t, text."""
+    samples are verified, or their texts are in one component without it. `named`: doc_id, t, text."""
     pairs, members = stars(sketches)
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("t")).unionAll(members.select("t")).distinct()
-    # Always by sort and merge: one plan at every size, and no list of texts is sent to every task.
-    wanted = stored(named.select("t", "text").join(asked.hint("merge"), "t", "left_semi").dropDuplicates(["t"]), "near-wanted")
-    links = stored(verified(pairs, wanted, idf), "near-verified")
-    roots, most = stored(components(links), "near-roots"), FIRST
-    while not members.isEmpty():
-        out = stored(across(members, roots, sketches, most), "near-across")
-        fresh = stored(out.where("b is not null").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "near-pairs")
-        ends = fresh.select(F.explode(F.array("a", "b")).alias("t")).distinct()
-        more = stored(verified(fresh, wanted.join(ends.hint("merge"), "t", "left_semi"), idf), "near-verified")
-        pairs = pairs.unionAll(fresh)
-        if not more.isEmpty():
-            links = links.unionAll(more)
-            roots = stored(components(links), "near-roots")
-        # Only bands with pairs left out go on; `most` outgrows every tile, so this ends.
-        opened = out.where("a is null").select("band").distinct()
-        members, most = stored(members.join(opened, "band", "left_semi"), "near-open"), most * 16
+    loose = stored(components(pairs), "near-loose")
+    apart = stored(across(members, loose, sketches), "near-across")
+    if not apart.isEmpty():
+        loose = stored(components(pairs.unionAll(apart)), "near-loose")
+    # One row of each text: its key alone would bring all its copies together. Always by sort and merge: one
+    # plan at every size, and no list of texts is sent to every task.
+    asked = stored(loose.select("t").join(sketches.select("t", F.col("text_id").alias("__id")), "t"), "near-asked").withColumnRenamed("t", "__t")
+    one = named.join(asked.hint("merge"), (F.col("t") == F.col("__t")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    wanted = stored(one.select("t", "text").dropDuplicates(["t"]), "near-wanted")
+    links = stored(verified(pairs, wanted, idf).select("a", "b"), "near-verified")
+    roots = stored(components(links), "near-roots")
+    more = stored(within(loose, roots, sketches, wanted, idf), "near-within")
+    if not more.isEmpty():
+        links = links.unionAll(more)
+        roots = stored(components(links), "near-roots")
     return links, roots
 
 
@@ -447,10 +535,12 @@ def grouped(docs: DataFrame) -> DataFrame:
             empty = (codes == 0xFFFFF).all(1)
             keys = [[] if no else row for no, row in zip(empty, bands(codes).tolist(), strict=True)]
             raw = [row.tobytes() for row in codes.astype("<u2")]
-            yield pa.record_batch([some.column("doc_id"), some.column("t"), pa.array(raw, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "t", "codes", "bands"])
+            sizes = pc.binary_length(some.column("text")).cast(pa.int64())
+            columns = [some.column("doc_id"), some.column("t"), sizes, pa.array(raw, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.record_batch(columns, names=["doc_id", "t", "size", "codes", "bands"])
 
-    drawn = stored(named.mapInArrow(sketch, "doc_id long, t string, codes binary, bands array<long>"), "near-sketches")
-    unique = stored(drawn.groupBy("t").agg(F.min("doc_id").alias("text_id"), F.first("codes").alias("codes"), F.first("bands").alias("bands")), "near-texts")
+    drawn = stored(named.mapInArrow(sketch, "doc_id long, t string, size long, codes binary, bands array<long>"), "near-sketches")
+    unique = stored(drawn.groupBy("t").agg(F.min("doc_id").alias("text_id"), *[F.first(c).alias(c) for c in ("size", "codes", "bands")]), "near-texts")
     links, roots = resolved(unique, named, idf)
     ends = links.select(F.explode(F.array("a", "b")).alias("t")).groupBy("t").agg(F.count("*").alias("similar"))
     known = unique.select("t", "text_id").join(roots, "t", "left").join(ends, "t", "left")
