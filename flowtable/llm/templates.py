@@ -9,10 +9,12 @@ template element with most of the text, without slots of links. What remains in
 words that are template themselves are left out where they make up a whole block, unless the pages
 are mostly copies of each other.
 
-1. Vectors. Each page adds a random number, fixed by the page and the count, to the sum of each token; equal
-   sums are equal vectors. Sums are merged in the task, then by host and token, so a hot host is spread.
-2. Classes: tags on at least half of a host's pages and words on all, so no more than twice a mean page has.
-3. Places: each page's order of root tags, the slots of the other classes' tokens, text by slot; summed by host.
+1. Vectors. Each page adds a random number, fixed by the page and the count, to the sum of each tag; equal
+   sums are equal vectors. Sums are merged in the task, then by host and tag, so a hot host is spread.
+   Words are template only if they stand on every page, so those of the host's shortest page are all to look at.
+2. Classes: tags on at least half of a host's pages, so no more than twice a mean page has.
+3. Places: each page's order of root tags, the slots of the other classes' tags and of words, text by slot; summed
+   by host. A word once on every page, always in one slot, is in the root class.
 4. Template and slots of each host; then each page is cut along them.
 
 Hosts of fewer than `PAGES` pages, and pages that lack their host's template, are judged by their own tags
@@ -42,7 +44,7 @@ from flowtable.llm.common import stored
 PAGES = 3  # fewer pages of a host tell nothing about its template
 SHARE, ALIKE = 0.5, 0.9  # of a host's pages that hold a class; that have the root class in one order
 MOST, LINKS = 0.7, 0.5  # of the text that the main element holds; of a slot's text that is links
-REPEATED, BOILER = 10, 0.3  # pages, and most of the main text in whole blocks, for words to be template inside it
+REPEATED, BOILER = 10, 0.3  # pages, and most of the main text, for words to be template inside it
 COPIED = 0.6  # of the main text in words that every page has: beyond it the pages are copies, not a template
 HELD = 200_000  # sums held in a task before they are handed on
 
@@ -185,21 +187,24 @@ def _pages(pages: DataFrame) -> DataFrame:
 
 
 def vectors(pages: DataFrame) -> DataFrame:
-    """host, token, label, one, two, pages, total for each token of each host; token 0 stands for the page itself.
-    (one, two) sum up the occurrence vector, `total` its numbers. `pages`: host, html."""
+    """host, token, label, one, two, pages, total for each tag of each host; token 0 stands for the page itself, and
+    the label of token 1 is the words of the host's shortest page. (one, two) sum up the occurrence vector, `total`
+    its numbers. `pages`: host, html."""
     fields = pa.schema([("host", pa.string()), ("token", pa.int64()), ("label", pa.string()), *[(c, pa.int64()) for c in ("one", "two", "pages", "total")]])
 
-    def batch(sums: dict, labels: dict) -> pa.RecordBatch:
-        keys, rows = list(sums), np.array(list(sums.values()), "i8").reshape(-1, 4)
-        columns = [pa.array([k[0] for k in keys]), pa.array(signed(k[1] for k in keys)), pa.array([labels.get(k[1]) for k in keys], pa.string())]
-        return pa.record_batch([*columns, *[pa.array(rows[:, i]) for i in range(4)]], schema=fields)
+    def batch(sums: dict, labels: dict, least: dict) -> pa.RecordBatch:
+        rows = [(host, token, labels.get(token), *row) for (host, token), row in sums.items()]
+        rows += [(host, 1, words, size, 0, 0, 0) for host, (size, words) in least.items()]
+        columns = list(zip(*rows, strict=True))
+        columns[1] = signed(columns[1])
+        return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, labels = {}, {}
+        sums, labels, least = {}, {}, {}
         for some in batches:
             for host, html in zip(some.column("host").to_pylist(), some.column("html").to_pylist(), strict=True):
-                page, numbers = _hash(html), {}
-                for token, count in counted(walk(html), labels).items():
+                page, numbers, items = _hash(html), {}, walk(html)
+                for token, count in counted(items, labels).items():
                     number = numbers.get(count)
                     if number is None:
                         number = numbers[count] = _hash(str(count), page)
@@ -208,62 +213,59 @@ def vectors(pages: DataFrame) -> DataFrame:
                     row[1] += (number >> 31) & 0x7FFFFFFF
                     row[2] += 1
                     row[3] += count
+                if host not in least or len(html) < least[host][0]:
+                    least[host] = (len(html), " ".join(sorted({w for x in items if x[0] == TEXT for w in x[3].split()})))
                 if len(sums) > HELD:
-                    yield batch(sums, labels)
-                    sums, labels = {}, {}
+                    yield batch(sums, labels, least)
+                    sums, labels, least = {}, {}, {}
         if sums:
-            yield batch(sums, labels)
+            yield batch(sums, labels, least)
 
     every = pages.select("host", "html").mapInArrow(run, "host string, token long, label string, one long, two long, pages long, total long")
-    return every.groupBy("host", "token").agg(F.max("label").alias("label"), *[F.sum(c).alias(c) for c in ("one", "two", "pages", "total")])
+    return every.groupBy("host", "token").agg(F.min_by("label", "one").alias("label"), *[F.sum(c).alias(c) for c in ("one", "two", "pages", "total")])
 
 
 def counted(items: list[tuple], labels: dict[int, str]) -> Counter:
-    """How often each token stands on a page."""
+    """How often each tag stands on a page."""
     found = Counter({0: 1})
     for kind, token, _, what, *_ in items:
-        if kind == TEXT:
-            found.update(_hash(w, token) for w in what.split())
-        else:
+        if kind != TEXT:
             found[token] += 1
             labels[token] = ("<" if kind == OPEN else ">") + what
     return found
 
 
 def deduced(rows: pd.DataFrame) -> tuple[np.ndarray, list[str]]:
-    """Of one host's frequent tokens: pairs of token and class, and the labels of the root tags. Class 0: root tags,
-    1: root words, -1: other words that are on every page, from 2 on: classes of two and more other tags."""
+    """Of one host's frequent tags: pairs of token and class, and the labels of the root tags. Class 0: root tags, from
+    1 on: classes of two and more other tags."""
     n = int(rows.loc[rows.token == 0, "pages"].iloc[0])
-    rows = rows[rows.token != 0].sort_values("token")
+    rows = rows[~rows.token.isin([0, 1])].sort_values("token")
     root = (rows.pages == n) & (rows.total == n)
-    tags = rows.label.notna()
-    pairs = [(t, 0) for t in rows.token[root & tags]] + [(t, 1) for t in rows.token[root & ~tags]]
-    pairs += [(t, -1) for t in rows.token[~root & ~tags]]
-    other = rows[~root & tags]
-    for number, (_, same) in enumerate((g for g in other.groupby(["one", "two", "pages", "total"]) if len(g[1]) > 1), 2):
+    pairs = [(t, 0) for t in rows.token[root]]
+    for number, (_, same) in enumerate((g for g in rows[~root].groupby(["one", "two", "pages", "total"]) if len(g[1]) > 1), 1):
         pairs += [(t, number) for t in same.token]
-    return np.array(pairs, "i8").reshape(-1, 2), list(rows.label[root & tags])
+    return np.array(pairs, "i8").reshape(-1, 2), list(rows.label[root])
 
 
 def classes(pages: DataFrame) -> DataFrame:
-    """host, pages, known (pairs of token and class), labels: one row per host with enough pages."""
+    """host, n (pages), known (pairs of token and class), labels, words (of the shortest page): one row per host
+    with enough pages."""
     sums = stored(vectors(pages), "template-vectors")
     hosts = sums.where((F.col("token") == 0) & (F.col("pages") >= PAGES)).select("host", F.col("pages").alias("n"))
-    enough = F.when(F.col("label").isNull(), F.col("n")).otherwise(SHARE * F.col("n"))
-    useful = sums.join(hosts, "host").where(F.col("pages") >= enough)
+    useful = sums.join(hosts, "host").where((F.col("token") == 1) | (F.col("pages") >= SHARE * F.col("n")))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         known, labels = deduced(rows)
-        return pd.DataFrame({"host": [rows.host.iloc[0]], "n": [int(rows.n.iloc[0])], "known": [known.tobytes()], "labels": [labels]})
+        words = rows.loc[rows.token == 1, "label"].iloc[0]
+        return pd.DataFrame({"host": [rows.host.iloc[0]], "n": [int(rows.n.iloc[0])], "known": [known.tobytes()], "labels": [labels], "words": [words]})
 
-    return useful.groupBy("host").applyInPandas(run, "host string, n long, known binary, labels array<string>")
+    return useful.groupBy("host").applyInPandas(run, "host string, n long, known binary, labels array<string>, words string")
 
 
 def places(pages: DataFrame, known: DataFrame) -> DataFrame:
     """host, what, a, b, root, n, chars, links, summed over each host's pages. what = o: `n` pages have the root tags
-    in the order `root`; c: token `a` stands `n` times in slot `b`; w: root word `a` on `n` pages in slot `b`;
-    t: text in slot `a`, outside (b = 0) or inside of elements that hold no article; b: of it, in words that are
-    on every page (links: in blocks of root words alone)."""
+    in the order `root`; c: tag `a` stands `n` times in slot `b`; w: word `a` is on `n` pages in slot `b`, `links`
+    times; t: text in slot `a`, outside (b = 0) or inside of elements that hold no article."""
     fields = pa.schema([("host", pa.string()), ("what", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("root", pa.binary()), *[(c, pa.int64()) for c in ("n", "chars", "links")]])
 
     def batch(sums: dict) -> pa.RecordBatch:
@@ -274,11 +276,12 @@ def places(pages: DataFrame, known: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, read = {}, {}
         for some in batches:
-            for host, html, blob in zip(some.column("host").to_pylist(), some.column("html").to_pylist(), some.column("known").to_pylist(), strict=True):
-                if blob not in read:
-                    read.clear()
-                    read[blob] = {t & (2**64 - 1): c for t, c in np.frombuffer(blob, "i8").reshape(-1, 2).tolist()}
-                for key, n, chars, links in placed(walk(html), read[blob]):
+            for host, html, blob, text in zip(*(some.column(c).to_pylist() for c in ("host", "html", "known", "words")), strict=True):
+                if host not in read:
+                    if len(read) > 200:
+                        read.clear()
+                    read[host] = {t & (2**64 - 1): c for t, c in np.frombuffer(blob, "i8").reshape(-1, 2).tolist()}, set(text.split())
+                for key, n, chars, links in placed(walk(html), *read[host]):
                     row = sums.setdefault((host, *key), [0, 0, 0])
                     row[0] += n
                     row[1] += chars
@@ -289,26 +292,26 @@ def places(pages: DataFrame, known: DataFrame) -> DataFrame:
         if sums:
             yield batch(sums)
 
-    rows = pages.select("host", "html").join(known.select("host", "known"), "host")
-    every = rows.select("host", "html", "known").mapInArrow(run, "host string, what string, a long, b long, root binary, n long, chars long, links long")
+    rows = pages.select("host", "html").join(known.select("host", "known", "words"), "host")
+    every = rows.select("host", "html", "known", "words").mapInArrow(run, "host string, what string, a long, b long, root binary, n long, chars long, links long")
     return every.groupBy("host", "what", "a", "b", "root").agg(*[F.sum(c).alias(c) for c in ("n", "chars", "links")])
 
 
-def placed(items: list[tuple], known: dict[int, int]) -> Iterator[tuple]:
-    slot, order = 0, []
+def placed(items: list[tuple], known: dict[int, int], words: set[str]) -> Iterator[tuple]:
+    slot, order, held = 0, [], Counter()
     for kind, token, asides, what, *links in items:
         if kind == TEXT:
             yield ("t", slot, int(asides > 0), b""), 1, len(what), links[0]
-            held = Counter(what.split())
-            of = {w: known.get(_hash(w, token), 0) for w in held}
-            yield ("b", slot, 0, b""), 1, sum(len(w) * held[w] for w, c in of.items() if c), len(what) * all(c == 1 for c in of.values())
-            yield from ((("w", _hash(w, token), slot, b""), 1, 0, 0) for w, c in of.items() if c == 1)
+            every = what.split()
+            if not words.isdisjoint(every):
+                held.update((w, token, slot) for w in every if w in words)
         elif token in known:
             if known[token] == 0:
                 slot = token
                 order.append(token)
             else:
                 yield ("c", token, slot, b""), 1, 0, 0
+    yield from ((("w", _hash(w, token), at, b""), 1, len(w) * n, n) for (w, token, at), n in held.items())
     yield ("o", 0, 0, signed(order).tobytes()), 1, 0, 0
 
 
@@ -349,13 +352,12 @@ def template(n: int, known: np.ndarray, labels: list[str], rows: pd.DataFrame) -
         return None
     within = max(big, key=lambda e: (rank(e), -root.index(e)))
     main = [s for s in inside[within] if links.get(s, 0) <= LINKS * chars.get(s, 0)]
-    words = rows[rows.what == "w"].groupby("a").b.agg(["min", "max"])
-    words = words[(words["min"] == words["max"]) & words["min"].isin(main)]
-    body = text[text.a.isin(main)].chars.sum()
-    common = rows[(rows.what == "b") & rows.a.isin(main)]
-    drop = words.index.tolist() if n >= REPEATED and common.chars.sum() <= COPIED * body and common.links.sum() <= BOILER * body else []
+    words = rows[rows.what == "w"]
+    body, always = text[text.a.isin(main)].chars.sum(), words[words.b.isin(main) & (words.n == n)]
+    once = always[(always.links == n) & ~always.a.isin(words[words.duplicated("a")].a)]
+    drop = once.a.tolist() if n >= REPEATED and always.chars.sum() <= COPIED * body and once.chars.sum() <= BOILER * body else []
 
-    number = dict(known[known[:, 1] > 1].tolist())
+    number = dict(known[known[:, 1] > 0].tolist())
     spots = rows[rows.what == "c"].groupby("a").b.agg(["min", "max"])
     nested: dict[int, set] = {}
     for c in set(number.values()):
