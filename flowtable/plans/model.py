@@ -24,8 +24,23 @@ def table_stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def split_stream(spark: SparkSession, sf: str, name: str, label: str, batches: int = 4) -> DataFrame:
     """The table as a stream of several micro-batches, its rows dealt over them without regard to their order."""
-    rows, path = table(spark, sf, name), new_path(spark, label)
+    return dealt_stream(table(spark, sf, name), label, batches)
+
+
+def dealt_stream(rows: DataFrame, label: str, batches: int = 4) -> DataFrame:
+    """Rows as a stream of several micro-batches, dealt without regard to their order."""
+    path = new_path(rows.sparkSession, label)
     rows.repartition(batches).write.parquet(path)
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def timed_stream(rows: DataFrame, by: str, label: str, batches: int = 4) -> DataFrame:
+    """Rows as a stream of several micro-batches in the order of the number `by`."""
+    spark, path = rows.sparkSession, new_path(rows.sparkSession, label)
+    cuts = rows.approxQuantile(by, [i / batches for i in range(1, batches)], 0.01)
+    place = sum([(F.col(by) > c).cast("int") for c in cuts], F.lit(0))
+    for i in range(batches):  # one file after another, so that their times tell the order
+        rows.where(place == i).coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 

@@ -86,7 +86,7 @@ def record_upsert(spark, sf):
     return h.fold_events(event_log(m.task_runs(m.table(spark, sf, "events"))))
 
 
-def event_log(task_runs):
+def event_log(task_runs, *more):
     """Start and finish events of task runs, as a tracker would log them."""
     name = F.col("task_name")
     entry = lambda kind, t, status: F.struct(
@@ -96,7 +96,7 @@ def event_log(task_runs):
     finished = F.when(
         F.col("completed_time").isNotNull(), entry("finish", F.col("completed_time"), F.col("completion_status"))
     )
-    return task_runs.select("id", F.inline(F.array_compact(F.array(started, finished))))
+    return task_runs.select("id", *more, F.inline(F.array_compact(F.array(started, finished))))
 
 
 @query(

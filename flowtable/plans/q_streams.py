@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowtable.operators.content import base64_text
-from flowtable.operators.history import with_task_status
 from flowtable.plans import model as m
 from flowtable.plans import q_items
 from flowtable.plans.q_batches import _POS_SQL
@@ -21,13 +20,13 @@ from flowtable.streaming.dedup import read_paths, stream_dedup
 from flowtable.streaming.epochs import START, drain, finish, read_all
 from flowtable.streaming.incremental import STORE_SCHEMA, stream_incremental
 from flowtable.streaming.jobs import read_outcomes, stream_job_outcome
-from flowtable.streaming.status import read_counts, read_reports, read_status, report_counts, stream_report, stream_status
+from flowtable.streaming.status import read_counts, read_report, read_status, report_counts, stream_report, stream_status
 
 
 @query("stream_task", ORACLES["task_map"])
 def stream_task(spark, sf):
     wf = Workflow("stream")
-    arriving = m.documents(m.table_stream(spark, sf, "documents")).drop("text")
+    arriving = m.documents(m.split_stream(spark, sf, "documents", "task-in")).drop("text")
     out = wf.task("base64", arriving, q_items.base64_task)
     return drain(out.select("item_id", "task", "image", "output", "command"), "stream-task")
 
@@ -47,7 +46,7 @@ def stream_skip(spark, sf):
         base64_text("text").alias("content"),
     )
     before = m.manifest(m.documents(m.table(spark, sf, "documents")))
-    arriving = m.documents(m.table_stream(spark, sf, "documents"))
+    arriving = m.documents(m.split_stream(spark, sf, "documents", "skip-in"))
     finish(stream_incremental(arriving, root, m.declared, run, before))
     stored = read_all(spark, f"{root}/store", STORE_SCHEMA).where(F.col("epoch") > START)
     return stored.select("path", F.length("content").cast("bigint").alias("length"))
@@ -60,8 +59,8 @@ FROM p GROUP BY 1, 2""",
 )
 def stream_buffer_query(spark, sf):
     root = new_path(spark, "stream-buffer")
-    arriving = m.table_stream(spark, sf, "events").select("event_type", "ts", "event_id")
-    arriving = arriving.withColumn("item", F.col("event_id"))
+    events = m.table(spark, sf, "events").select("event_type", "ts", "event_id", F.col("event_id").alias("item"), m.event_ms().alias("ms"))
+    arriving = m.timed_stream(events, "ms", "buffer-in").drop("ms")
     finish(stream_buffer(arriving, "event_type", ["ts", "event_id"], "item", 3, root))
     buffers = read_buffers(spark, arriving, "event_type", ["ts", "event_id"], "item", root)
     text = F.concat_ws(",", F.transform("values", lambda v: v.cast("string")))
@@ -97,16 +96,18 @@ def stream_counts(spark, sf):
 )
 def stream_report_query(spark, sf):
     root = new_path(spark, "stream-report")
-    changes = with_task_status(m.task_runs(m.split_stream(spark, sf, "events", "report-in"))).select("run_id", "status")
+    # Starts and ends are dealt apart, so that statuses change from micro-batch to micro-batch, and ends come first.
+    changes = m.dealt_stream(event_log(m.task_runs(m.table(spark, sf, "events")), "run_id"), "report-in")
     for _ in range(2):  # the second time nothing has changed, and nothing is reported
         finish(stream_report(changes, root, trigger={"availableNow": True}))
-    return read_reports(spark, root).groupBy("run_id", "status").agg(F.sum("n").alias("n"))
+    return read_report(spark, root)
 
 
 @query("stream_job_outcome", OUTCOME_SQL)
 def stream_job_outcome_query(spark, sf):
     root = new_path(spark, "stream-jobs")
-    finish(stream_job_outcome(m.polls(m.table_stream(spark, sf, "events")), "slurm", root))
+    polls = m.polls(m.table(spark, sf, "events"))
+    finish(stream_job_outcome(m.timed_stream(polls, "seq", "jobs-in"), "slurm", root))
     return read_outcomes(spark, root)
 
 

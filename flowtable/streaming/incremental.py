@@ -4,18 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from flowtable.functions.common import names
 from flowtable.functions.paths import none_marker
 from flowtable.operators.incremental import plan_skips
-from flowtable.streaming.epochs import each_batch, read_before, start_table, write_epoch
+from flowtable.streaming.epochs import START, each_batch, read_epoch, write_epoch
+from flowtable.streaming.levels import Levels
 
 STORE_SCHEMA = "path string, content string"
 
 
+def manifest_table(spark: SparkSession, root: str) -> Levels:
+    return Levels(spark, f"{root}/manifest", "path string", "path")
+
+
 def stream_incremental(
     sdf: DataFrame,
     root: str,
@@ -29,21 +34,24 @@ def stream_incremental(
 
     `declare` maps items to (item, path, optional), `run` maps the items to run to
     (path, content). `manifest` (path) is what exists beforehand. Produced files are stored
-    per micro-batch below `root`/store, which is also the manifest of the next batches.
+    per micro-batch below `root`/store; their paths join the manifest, of which a micro-batch opens
+    only the buckets that may hold a path it asks for.
     """
     spark, keys, store = sdf.sparkSession, names(item), f"{root}/store"
-    before = spark.createDataFrame([], "path string") if manifest is None else manifest.select("path")
-    start_table(before.withColumn("content", F.lit(None).cast("string")), store)
+    before = manifest_table(spark, root)
+    if not before.runs():
+        known = spark.createDataFrame([], "path string") if manifest is None else manifest.select("path").distinct()
+        before.append(known, START)
 
     def handle(batch: DataFrame, epoch: int) -> None:
-        here = batch.sparkSession
+        table = manifest_table(batch.sparkSession, root)
         items = batch.dropDuplicates(keys)
         outputs = declare(items)
-        # Of the manifest, only what this batch may find; of the items, only keys until they run.
         asked = outputs.select(F.explode(F.array("path", none_marker("path"))).alias("path"))
-        known = read_before(here, store, STORE_SCHEMA, epoch).select("path").join(asked, "path", "left_semi")
-        plan = plan_skips(items.select(*keys), outputs, known, keys)
+        plan = plan_skips(items.select(*keys), outputs, table.lookup(asked, epoch).select("path"), keys)
         produced = run(items.join(plan.where(F.col("action") == "run").select(*keys), keys, "left_semi"))
         write_epoch(produced.select("path", "content"), store, epoch)
+        made = read_epoch(batch.sparkSession, store, STORE_SCHEMA, epoch).select("path").distinct()
+        table.append(made.join(table.lookup(made, epoch), "path", "left_anti"), epoch)
 
     return each_batch(sdf, handle, f"{root}/checkpoint", trigger=trigger)
