@@ -18,6 +18,7 @@ from flowtable.plans.workflow import Workflow
 from flowtable.session import new_path
 from flowtable.sources.items import items
 from flowtable.sources.listing import list_files
+from flowtable.sources.files import output_files, write_output_files
 from flowtable.sources.outputs import write_outputs, write_status
 from flowtable.sources.store import Store
 
@@ -107,6 +108,17 @@ def snk_outputs(spark, sf):
     return write_outputs(_produced(docs), m.declared(docs), new_path(spark, "outputs"), "base64")
 
 
+@query("snk_files", _STORED_SQL)
+def snk_files(spark, sf):
+    # The same outputs as files at their paths; what the manifest says of them is read from the files that are there.
+    docs, root = m.documents(m.table(spark, sf, "documents")), new_path(spark, "files")
+    manifest = write_output_files(_produced(docs), m.declared(docs), root, "base64")
+    there = output_files(spark, root).select("path", F.col("length").alias("found"))
+    both = manifest.join(there, "path", "full")
+    status = F.when((F.col("found").isNotNull()) == (F.col("status") != "missing"), F.col("status")).otherwise("differs")
+    return both.select("task", "item_id", "path", status.alias("status"), F.coalesce("found", F.lit(0).cast("bigint")).alias("length"))
+
+
 def _produced(docs):
     """What a step makes of the documents: some files are missing, one is not declared."""
     i = F.col("item_id")
