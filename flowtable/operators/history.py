@@ -85,6 +85,26 @@ def duration_stats(task_runs: DataFrame, by="task_name", as_of=None, shares=None
     )
 
 
+def duration_sketches(task_runs: DataFrame, by="task_name", as_of=None, k: int = 400) -> DataFrame:
+    """(by, n, sketch): durations as quantile sketches of bounded size, to be kept per day or micro-batch and merged in
+    any order. Ranks read from them are off by about 2.6 / k ** 0.9 (1 % for 400) with 99 % confidence, merged or not."""
+    keys = names(by)
+    timed = task_runs.select(*keys, duration_ms(as_of).cast("bigint").alias("ms")).where("ms is not null")
+    return timed.groupBy(*keys).agg(F.count("*").alias("n"), F.kll_sketch_agg_bigint("ms", k).alias("sketch"))
+
+
+def merge_sketches(sketches: DataFrame, by="task_name", k: int = 400) -> DataFrame:
+    """Sketches of the same keys as one."""
+    return sketches.groupBy(*names(by)).agg(F.sum("n").alias("n"), F.kll_merge_agg_bigint("sketch", k).alias("sketch"))
+
+
+def sketched_stats(sketches: DataFrame, by="task_name", shares=None) -> DataFrame:
+    """(by, n, and a percentile per share) of sketches."""
+    shares = {"p50": 0.5, "p90": 0.9, "p99": 0.99} if shares is None else shares
+    found = [F.kll_sketch_get_quantile_bigint("sketch", F.lit(share)).alias(name) for name, share in shares.items()]
+    return sketches.select(*names(by), "n", *found)
+
+
 def concurrency(task_runs: DataFrame, by="task_name", slots: Column | None = None, as_of=None,
                 width: int = 3_600_000) -> DataFrame:
     """Most task runs in flight at once per key, and whether that exceeded `slots`.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowtable.functions.common import names
 from flowtable.functions.nested import explode_refs
+from flowtable.session import materialise
 from flowtable.functions.paths import NONE_SUFFIX, ancestor_dirs, file_name, mount_path, relative_to
 from flowtable.operators.skew import ROWS_PER_SLICE, split_join
 
@@ -120,6 +121,24 @@ def lineage(producers: DataFrame, consumers: DataFrame) -> DataFrame:
     return read.join(wrote, "path").select("producer", "consumer", "path")
 
 
+def downstream(edges: DataFrame, lost: DataFrame) -> DataFrame:
+    """(item, depth): every item that is lost, or that a lost one leads to over any path of `edges`; `depth` is the
+    length of the shortest one, 0 for the items of `lost` (item). `edges`: producer, consumer.
+
+    One join per depth, of the items that the last one reached first; cycles and diamonds are met once. Each depth
+    is written, so lineage stays short and a lost executor repeats one depth.
+    """
+    steps = materialise(edges.where("producer is not null and consumer is not null").select("producer", "consumer").distinct(), "edges")
+    reached = seen = materialise(lost.where("item is not null").select("item", F.lit(0).alias("depth")).distinct(), "downstream")
+    depth = 1
+    while True:
+        onward = steps.join(reached.select(F.col("item").alias("producer")), "producer").select(F.col("consumer").alias("item")).distinct()
+        reached = materialise(onward.join(seen, "item", "left_anti").select("item", F.lit(depth).alias("depth")), "downstream")
+        if reached.isEmpty():
+            return seen
+        seen, depth = seen.unionAll(reached), depth + 1
+
+
 def dangling(consumers: DataFrame, producers: DataFrame) -> DataFrame:
     """Distinct (consumer, path) whose file nobody produced."""
     known = producers.select("path").distinct()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from flowtable.functions.common import render
@@ -13,7 +15,8 @@ from flowtable.operators.history import status_doc, status_entries, with_workflo
 from flowtable.operators.tasks import flat_items, lookup_strict, merge_as_json, task_map, validate_requests
 from flowtable.plans import model as m
 from flowtable.plans.registry import query
-from flowtable.plans.run import ChainStep, run_chain, run_step
+from flowtable.operators.incremental import downstream
+from flowtable.plans.run import ChainStep, GraphStep, run_chain, run_graph, run_step
 from flowtable.plans.workflow import Workflow
 from flowtable.session import new_path
 from flowtable.sources.items import items
@@ -384,6 +387,62 @@ def chain_rerun(spark, sf):
     return found.join(status, "run_id")
 
 
+@query(
+    "graph_run",
+    """WITH s(task, lost) AS (VALUES ('source', 1), ('left', 2), ('right', 3), ('join', 4), ('aside', 5)), p AS (
+  SELECT task, doc_id, doc_id % 7 = lost AS lost FROM documents, s
+  WHERE task IN ('source', 'aside') OR (doc_id % 7 <> 1 AND (task <> 'join' OR doc_id % 7 NOT IN (2, 3))))
+SELECT task, CASE WHEN lost THEN 'lost' ELSE 'done' END AS outcome, count(*) AS n, 'FAILED' AS run_status FROM p GROUP BY ALL""",
+)
+def graph_run(spark, sf):
+    # A diamond and a step aside, two at once: an item reaches the last step if both branches let it through.
+    store = Store(spark, new_path(spark, "graph"))
+    docs = m.documents(m.table(spark, sf, "documents")).select("item_id", F.md5("text").alias("text"))
+
+    def step(task, lost, after=()):
+        out = render(task + "/{i}.txt", i=F.col("item_id"))
+        items = lambda flow: functools.reduce(lambda a, b: a.join(b.select("item_id"), "item_id", "left_semi"), flow.values()) if flow else docs
+        declare = lambda df: df.select("item_id", out.alias("path"), F.lit(False).alias("optional"))
+        run = lambda df: df.where(F.col("item_id") % 7 != lost).select("item_id", out.alias("path"), F.col("text").alias("content"))
+        return GraphStep(task, items, declare, run, after, grouping=100)
+
+    steps = [
+        step("join", 4, ("left", "right")), step("left", 2, ("source",)), step("right", 3, ("source",)), step("source", 1), step("aside", 5),
+    ]
+    found = None
+    for task, result in sorted(run_graph(store, "diamond", steps, 1, parallel=2).items()):
+        lost = result.lost.select("item_id", F.lit("lost").alias("outcome"))
+        rows = result.planned.join(lost, "item_id", "left").groupBy(F.lit(task).alias("task"), F.coalesce("outcome", F.lit("done")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+        found = rows if found is None else found.unionByName(rows)
+    status = with_workflow_status(store.workflow_runs()).select(F.col("status").alias("run_status"))
+    return found.withColumn("run_status", F.lit(status.first().run_status))
+
+
+@query(
+    "downstream_loss",
+    """WITH RECURSIVE e AS (
+  SELECT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem WHERE l_linenumber = 1
+  UNION SELECT 'p' || l_partkey, 'o' || l_orderkey FROM lineitem WHERE l_linenumber = 2
+  UNION SELECT 'o' || o_orderkey, 'c' || o_custkey FROM orders WHERE o_orderstatus = 'F'
+  UNION SELECT 'c' || c_custkey, 's' || (c_custkey % 100) FROM customer WHERE c_nationkey = 0
+), r AS (
+  SELECT 's' || s_suppkey AS item, 0 AS depth FROM supplier WHERE s_suppkey % 5 = 1
+  UNION SELECT b, depth + 1 FROM r JOIN e ON a = item WHERE depth < 24
+)
+SELECT item, min(depth)::int AS depth FROM r GROUP BY item""",
+)
+def downstream_loss(spark, sf):
+    # Suppliers lead to parts, parts to orders, orders to customers, and some of those to suppliers again.
+    lines, orders, customers = (m.table(spark, sf, t) for t in ("lineitem", "orders", "customer"))
+    edge = lambda df, a, x, b, y: df.select(F.concat(F.lit(a), x).alias("producer"), F.concat(F.lit(b), y).alias("consumer"))
+    edges = edge(lines.where("l_linenumber = 1"), "s", "l_suppkey", "p", "l_partkey")
+    edges = edges.unionAll(edge(lines.where("l_linenumber = 2"), "p", "l_partkey", "o", "l_orderkey"))
+    edges = edges.unionAll(edge(orders.where("o_orderstatus = 'F'"), "o", "o_orderkey", "c", "o_custkey"))
+    edges = edges.unionAll(edge(customers.where("c_nationkey = 0"), "c", "c_custkey", "s", F.col("c_custkey") % 100))
+    seeds = m.table(spark, sf, "supplier").where("s_suppkey % 5 = 1").select(F.concat(F.lit("s"), "s_suppkey").alias("item"))
+    return downstream(edges, seeds)
+
+
 @query(
     "flux_merge",
     """SELECT 'events' AS task, json_object('event_id', event_id, 'event_type', event_type)::VARCHAR AS output FROM events

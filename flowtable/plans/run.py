@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 from dataclasses import dataclass
+from graphlib import TopologicalSorter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -100,6 +102,62 @@ def run_chain(
     return results
 
 
+@dataclass(frozen=True)
+class GraphStep:
+    """A step of a graph: as in `run_step`; `items` makes its items of what flows on from the steps it comes `after`."""
+
+    task: str
+    items: Callable[[Mapping[str, DataFrame]], DataFrame]
+    declare: Callable[[DataFrame], DataFrame]
+    run: Callable[[DataFrame], DataFrame]
+    after: tuple[str, ...] = ()
+    grouping: int = 1
+
+
+def run_graph(
+    store: Store, name: str, steps: Sequence[GraphStep], run_id: int, item: str = "item_id", parallel: int = 4
+) -> dict[str, StepResult]:
+    """Run a graph of steps as one run of workflow `name`: a step starts when those it comes after have ended, at most
+    `parallel` of them at once, each a Spark job group in a scheduler pool of its own.
+
+    A step that raises loses its items; steps that do not come after it go on. Where a step cannot be started at
+    all, the others that do not need it are still run; then its error is raised and the run has no end.
+    """
+    known = {s.task: s for s in steps}
+    if len(known) < len(steps):
+        raise ValueError("task names are used by more than one task")
+    if unknown := {a for s in steps for a in s.after} - known.keys():
+        raise ValueError(f"no such tasks: {sorted(unknown)}")
+    order = TopologicalSorter({s.task: s.after for s in steps})
+    order.prepare()
+    store.start_run(run_id, name)
+    spark, flow, results, errors = store.spark, {}, {}, []
+
+    def one(step: GraphStep) -> tuple[StepResult, DataFrame]:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"{name}-{step.task}")
+        items = materialise(step.items({a: flow[a] for a in step.after}), "graph")
+        result = run_step(store, step.task, items, step.declare, step.run, item=item, run_id=run_id, grouping=step.grouping)
+        return result, materialise(result.done, "graph")
+
+    with ThreadPoolExecutor(max_workers=parallel) as pool:
+        running: dict = {}
+        while order.is_active():
+            running |= {pool.submit(one, known[task]): task for task in order.get_ready()}
+            if not running:  # only steps behind one that could not be started are left
+                break
+            for ended in wait(running, return_when=FIRST_COMPLETED).done:
+                task = running.pop(ended)
+                if ended.exception():
+                    errors.append(ended.exception())
+                    continue
+                results[task], flow[task] = ended.result()
+                order.done(task)
+    if errors:
+        raise errors[0]
+    store.complete_run(run_id)
+    return results
+
+
 def _record(store, version, task, todo, missing, item, run_id, grouping, execution, started, error) -> None:
     """One history row per batch of items, in the place a finished task run has."""
     executed = F.lit(None).cast(EXECUTIONS_TYPE.removeprefix("array<").removesuffix(">")) if execution is None else execution
