@@ -1,7 +1,7 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on labelled text: one on ordinary documents, one on what toxic
-documents hold beyond them. A window (a word, or 48 letters of a longer one) is compressed against the
+Two zstandard dictionaries are trained on labelled text: one on ordinary documents, one on the words
+of toxic documents that are far more frequent there than in ordinary ones. A window (a word, or 48 letters of a longer one) is compressed against the
 ordinary dictionary, and against the same with the toxic one added; the bytes saved are its distance.
 The dictionaries share their ordinary part, so the distance of a plain window is close to 0 whatever
 its length. Every window of every text is compared; equal windows once per worker. A document's score
@@ -32,7 +32,9 @@ from pyspark.sql.pandas.functions import pandas_udf
 from flowtable.llm.common import held_out, uniform
 
 TOXIC, ORDINARY, CHARS = 1600, 4000, 200_000
-ORDINARY_BYTES, TOXIC_BYTES = (4096, 8192), ((768, 12), (1024, 16), (1024, 24), (1536, 16))  # tried; bytes and segment lengths
+ORDINARY_BYTES, TOXIC_BYTES = (8192,), ((768, 12), (1024, 16), (1024, 24), (1536, 16))  # tried; bytes and segment lengths
+TELLING = (8.0, 32.0)  # tried; how many times as frequent a word must be in toxic documents
+SEGMENTS = 30_000  # of ordinary text to train on, of 64 words each
 LEVELS = (2, 3, 4, 5)
 THRESHOLD = 0.3
 KEPT = 300_000  # windows remembered per worker
@@ -113,19 +115,27 @@ def trained(samples: list[bytes], size: int, **how) -> bytes:
         return b"".join(samples)[-size:]
 
 
+def telling(toxic: list[list[str]], ordinary: list[list[str]]) -> dict[str, float]:
+    """How many times as frequent each word is in toxic documents as in ordinary ones, half an occurrence added there;
+    0 for words in fewer than a sixtieth of the toxic ones (two at least), which may be there by accident. A few
+    wrong labels or quotations lower the number a little, they do not strike a word out."""
+    many, few = (Counter(w for d in side for w in set(d)) for side in (ordinary, toxic))
+    least = max(2, round(len(toxic) / 60))
+    return {w: n / len(toxic) / ((many[w] + 0.5) / (len(ordinary) + 1)) if n >= least else 0.0 for w, n in few.items()}
+
+
 def dictionaries(toxic: list[list[str]], ordinary: list[list[str]]) -> Iterator[tuple[bytes, bytes]]:
-    """Pairs of an ordinary and a toxic dictionary, of several sizes and segment lengths."""
+    """Pairs of an ordinary and a toxic dictionary, of several sizes, segment lengths and choices of toxic words."""
     lines = [(" " + " ".join(d[i : i + 64]) + " ").encode() for d in ordinary for i in range(0, len(d), 64)]
     lines.sort(key=zlib.crc32)  # any fixed order, so that long documents do not lead
-    usual = {w for d in ordinary for w in d}
-    spread = Counter(w for d in toxic for w in set(d))
-    least = max(2, round(len(toxic) / 60))  # seen in enough toxic documents to be no accident
-    beyond = [(" " + " ".join(w for w in d if w not in usual and spread[w] >= least) + " ").encode() for d in toxic]
-    beyond = [b for b in beyond if b.strip()]
+    tells = telling(toxic, ordinary)
     for size in ORDINARY_BYTES:
-        plain = trained(lines[:30_000], size)
-        for extra, k in TOXIC_BYTES:
-            yield plain, trained(beyond, extra, k=k, d=6)
+        plain = trained(lines[:SEGMENTS], size)
+        for least in TELLING:
+            beyond = [(" " + " ".join(w for w in d if tells[w] >= least) + " ").encode() for d in toxic]
+            beyond = [b for b in beyond if b.strip()]
+            for extra, k in TOXIC_BYTES:
+                yield plain, trained(beyond, extra, k=k, d=6)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 50) -> np.ndarray:
