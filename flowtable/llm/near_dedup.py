@@ -43,6 +43,7 @@ SAMPLES = BANDS * ROWS
 NEAR = round(0.66 * SAMPLES)  # agreeing samples that a pair needs to be verified: 3 deviations below 0.8
 BUCKETS = 1 << 18
 BLOCK = 1024
+EDGES = 200_000  # links of a task while components are sought
 TILE, TILE_BYTES, COLUMNS = 2048, 16 << 20, 4096  # texts and bytes of a block that is compared exactly; shingles at once
 MIX, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 BASE = 0x100000001B3
@@ -499,19 +500,21 @@ def components(edges: DataFrame) -> DataFrame:
     when a round changes nothing (stars to begin with need one round). Minima are summed on the map side, and the hub's rows of the join
     back are split by adaptive execution; each round is written, so lineage stays short.
     """
-    edges = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "near-edges")
+    parts = edges.count() // EDGES + 1  # as many tasks and files as the links need, however many partitions a shuffle has
+    keep = lambda df, label: stored(df.coalesce(parts), label)
+    edges = keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "near-edges")
     seal = lambda: edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     mark = seal()
     while True:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "near-least")
+        low = keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "near-least")
         # Large star: every greater neighbour goes to the least.
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stored(large, "near-large")
+        large = keep(large, "near-large")
         # Small star: the lesser neighbours, and the node itself, go to the least of them.
-        low = stored(large.groupBy("u").agg(F.min("v").alias("m")), "near-least")
+        low = keep(large.groupBy("u").agg(F.min("v").alias("m")), "near-least")
         small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
-        edges = stored(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct(), "near-edges")
+        edges = keep(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct(), "near-edges")
         after = seal()
         if after == mark:
             return edges.select(F.col("u").alias("t"), F.col("v").alias("root")).unionAll(edges.select(F.col("v").alias("t"), F.col("v").alias("root")).distinct())
