@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,17 +40,38 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     than `checkpoint()`, so that later reads still prune columns.
     `release` deletes the copies.
     """
-    path = new_path(df.sparkSession, label)
-    _scratch.append(path)
+    path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A fresh path for an intermediate table, which `scope` or `release` deletes."""
+    _scratch.append(new_path(spark, label))
+    return _scratch[-1]
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> int:
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = [jvm.org.apache.hadoop.fs.Path(p) for p in paths]
+    return sum(p.getFileSystem(conf).delete(p, True) for p in at)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what intermediate tables were made inside; for work whose result is written inside, too."""
+    mark = len(_scratch)
+    try:
+        yield
+    finally:
+        made = _scratch[mark:]
+        del _scratch[mark:]
+        _delete(spark, made)
+
+
 def release(spark: SparkSession) -> int:
-    """Delete the copies that `materialise` has made so far; call it when no frame that was built on them
-    will be read again. Returns their number."""
-    jvm, conf, n = spark._jvm, spark._jsc.hadoopConfiguration(), 0
-    while _scratch:
-        path = jvm.org.apache.hadoop.fs.Path(_scratch.pop())
-        n += path.getFileSystem(conf).delete(path, True)
-    return n
+    """Delete all intermediate tables made so far; call it when no frame that was built on them will be read
+    again. Returns how many were there."""
+    made = _scratch[:]
+    _scratch.clear()
+    return _delete(spark, made)

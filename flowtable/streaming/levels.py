@@ -164,7 +164,9 @@ class Levels:
 
         hits = functools.reduce(DataFrame.unionAll, map(passing, live)).distinct().collect()  # no more than there are buckets
         self.opened = sorted(f"{self.root}/runs/{r.run}/bucket={r.bucket}" for r in hits)
-        return self._newest(self._read(self.opened).join(asked, self.key, "left_semi"))
+        named = asked.select(*[F.col(k).alias(f"__{k}") for k in self.key])  # a null key is a key, too
+        same = functools.reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in self.key])
+        return self._newest(self._read(self.opened).join(named, same, "left_semi"))
 
     def read(self, before: int | None = None) -> DataFrame:
         """All rows."""
