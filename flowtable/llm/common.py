@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowtable.session import new_path, prepare
+from flowtable.session import prepare, scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,8 +14,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """`df` written once to the shared folder and read back: later reads prune columns, and a lost
-    executor costs no second run of what made it."""
-    path = new_path(df.sparkSession, label)
+    executor costs no second run of what made it. `session.scope` and `session.release` delete it."""
+    path = scratch_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

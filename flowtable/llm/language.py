@@ -29,6 +29,7 @@ from flowtable.llm.common import held_out, uniform
 
 DOCS, CHARS = 2000, 50_000
 BUCKETS = 1 << 16
+LETTERS = 40  # longer runs of letters are cut into consecutive words of so many
 CHAIN = 256  # longer sentences are cut into chains of so many words
 LEXICON = 500  # words per language
 KEPT = 400_000
@@ -41,13 +42,15 @@ def chains(text: str) -> list[list[str]]:
     out = []
     for sentence in SENTENCE.split(text.lower()):
         words = WORD.findall(sentence)
+        if max(map(len, words), default=0) > LETTERS:
+            words = [w[i : i + LETTERS] for w in words for i in range(0, len(w), LETTERS)]
         out += [words[i : i + CHAIN] for i in range(0, len(words), CHAIN)]
     return out
 
 
 def clues(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """The features of all words: their places in `words`, ascending, and their buckets."""
-    cut = [f"<{w[:40]}>" for w in words]
+    cut = [f"<{w}>" for w in words]
     sizes = np.fromiter(map(len, cut), "i8", len(cut))
     codes = np.frombuffer("".join(cut).encode("utf-32-le", "surrogatepass"), "<u4").astype("u8")
     ends = np.cumsum(sizes)
