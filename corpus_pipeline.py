@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from flowtable.llm import mixing, near_dedup, packing, secrets, toxicity
 from flowtable.llm.common import table
 from flowtable.llm.queries import tokenizer
-from flowtable.session import new_path, prepare
+from flowtable.session import new_path, prepare, scope
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,6 +55,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents")
     for name, stage in STAGES:
         path = new_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scope(spark):  # the intermediate tables of a stage end with it
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
