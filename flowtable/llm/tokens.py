@@ -47,7 +47,7 @@ class Encoder:
             )
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
     def _pieces(self, words: list[str]) -> Iterable[tuple[str, bytes]]:
@@ -58,9 +58,7 @@ class Encoder:
         for at in range(0, len(joined), 20_000):
             some = joined[at : at + 20_000]
             text = ("" if self.kind == "byte" else " ").join(some)
-            ids = np.array(
-                self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4"
-            )
+            ids = np.frombuffer(self.whole([text])[0], "<u4")
             edges = np.flatnonzero(self.marked[ids])
             edges = np.append(edges, len(ids)) if self.kind == "byte" else np.append(0, edges + 1)
             if len(edges) != len(some) + 1:
@@ -77,21 +75,17 @@ class Encoder:
         if self.kind == "whole":
             return self.whole(texts)
         odd = [i for i, t in enumerate(texts) if ODD.search(t) or self.special.search(t)]
-        skip, get = set(odd), self.known.get
+        skip, known = set(odd), self.known
         cut = [
             [] if i in skip else self.find(t.lower() if self.kind == "word" else t)
             for i, t in enumerate(texts)
         ]
-        ids = [list(map(get, pieces)) for pieces in cut]
-        lacking = [i for i, x in enumerate(ids) if None in x]
-        if lacking:
-            new = list({w for i in lacking for w, x in zip(cut[i], ids[i], strict=True) if x is None})
-            fresh = dict(self._pieces(new))
-            for i in lacking:
-                ids[i] = [fresh[w] if x is None else x for w, x in zip(cut[i], ids[i], strict=True)]
-            room = self.room - len(self.known)
-            self.known.update(fresh if len(fresh) <= room else list(fresh.items())[: max(0, room)])
-        out = [b"".join(x) for x in ids]
+        room = max(0, self.room - len(known))
+        new = list(set().union(*cut).difference(known))
+        known.update(self._pieces(new))
+        out = [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
+        for w in new[room:]:  # there is no room to keep these
+            del known[w]
         if odd:
             for i, x in zip(odd, self.whole([texts[i] for i in odd]), strict=True):
                 out[i] = x
