@@ -19,7 +19,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -94,11 +94,15 @@ class Distances:
 
     def counts(self, texts: list[str | None]) -> np.ndarray:
         """Windows of each text that save at least 2, 3, 4, 5 bytes."""
-        out = np.zeros((len(texts), len(LEVELS)), "i8")
-        for i, text in enumerate(texts):
-            saved = [d for d in map(self.of, windows(text or "")) if d >= LEVELS[0]]
-            out[i] = [sum(d >= level for d in saved) for level in LEVELS]
-        return out
+        return self.counted(windows(text or "") for text in texts)
+
+    def counted(self, cut: Iterable[list[str]]) -> np.ndarray:
+        """The same for texts cut into windows."""
+        out = []
+        for words in cut:
+            saved = [d for d in map(self.of, words) if d >= LEVELS[0]]
+            out.append([sum(d >= level for d in saved) for level in LEVELS])
+        return np.array(out, "i8").reshape(len(out), len(LEVELS))
 
 
 def features(counts: np.ndarray) -> np.ndarray:
@@ -155,7 +159,8 @@ def fit(texts: list[str], labels: list[int]) -> Model | None:
     """Two thirds train the dictionaries; the last third calibrates, and picks the pair with the least loss."""
     if len(set(labels)) < 2:
         return None
-    cut, y = [windows(t) for t in texts], np.array(labels)
+    same: dict[str, str] = {}  # equal windows are one string: the sample has millions
+    cut, y = [[same.setdefault(w, w) for w in windows(t)] for t in texts], np.array(labels)
     rest = np.arange(len(y)) % 3 == 0
     if len(set(y[rest])) < 2 or len(set(y[~rest])) < 2:
         rest[:] = True  # too few labels to part them
@@ -163,7 +168,7 @@ def fit(texts: list[str], labels: list[int]) -> Model | None:
     rows = np.flatnonzero(rest)
     best, least = None, np.inf
     for pair in dictionaries(toxic, ordinary):
-        counts = Distances(Model(*pair, np.zeros(1))).counts([texts[i] for i in rows])
+        counts = Distances(Model(*pair, np.zeros(1))).counted(cut[i] for i in rows)
         model = Model(*pair, logistic(features(counts), y[rows].astype(float)))
         p = np.clip(model.score(counts), 1e-6, 1 - 1e-6)
         loss = -np.mean(np.where(y[rows] == 1, np.log(p), np.log(1 - p)))
