@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowtable.llm.common import stored
+from flowtable.llm.near_dedup import portions
 from flowtable.llm.tokens import encoder
 
 SCHEMA = "part int, place long, doc_id long, doc_tokens long, ids binary"
@@ -35,17 +36,15 @@ def encoded(docs: DataFrame, path: str, kind: str, end_id: int) -> DataFrame:
         from pyspark import TaskContext
 
         part, place, encode = TaskContext.get().partitionId(), 0, encoder(path, kind)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                some = batch.slice(at, 2000)
-                ids = [x + end for x in encode(some.column("text").to_pylist())]
-                sizes = np.array([len(x) // 4 for x in ids], "i8")
-                before = place + np.cumsum(sizes) - sizes
-                place += int(sizes.sum())
-                yield pa.record_batch(
-                    [pa.array(np.full(len(ids), part, "i4")), pa.array(before), some.column("doc_id").cast(pa.int64()), pa.array(sizes), pa.array(ids, pa.binary())],
-                    schema=FIELDS,
-                )
+        for some, text in portions(batches, "text"):  # bounded memory, however long the texts are
+            ids = [x + end for x in encode(text)]
+            sizes = np.array([len(x) // 4 for x in ids], "i8")
+            before = place + np.cumsum(sizes) - sizes
+            place += int(sizes.sum())
+            yield pa.record_batch(
+                [pa.array(np.full(len(ids), part, "i4")), pa.array(before), some.column("doc_id").cast(pa.int64()), pa.array(sizes), pa.array(ids, pa.binary())],
+                schema=FIELDS,
+            )
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return texts.mapInArrow(run, SCHEMA)

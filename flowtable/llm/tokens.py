@@ -8,12 +8,13 @@ text goes to the tokenizer whole. Either way the ids are the tokenizer's.
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Iterable
 
 import numpy as np
 
+from flowtable.llm.common import remembered
+
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 ODD = re.compile(rf"[^\t\n\r !-~{LETTERS}]")
 # The pre-token patterns of the two public vocabularies, narrowed to plain characters.
@@ -92,7 +93,6 @@ class Encoder:
         return out
 
 
-@functools.cache
 def encoder(path: str, kind: str = "whole") -> Encoder:
     """One encoder per worker process."""
-    return Encoder(path, kind)
+    return remembered(("encoder", path, kind), lambda: Encoder(path, kind))

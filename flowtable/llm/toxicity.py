@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
-from flowtable.llm.common import held_out, uniform
+from flowtable.llm.common import held_out, remembered, uniform
 
 TOXIC, ORDINARY, CHARS = 1600, 4000, 200_000
 ORDINARY_BYTES, TOXIC_BYTES = (8192,), ((768, 12), (1024, 16), (1024, 24), (1536, 16))  # tried; bytes and segment lengths
@@ -212,15 +212,9 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     return rows.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
-_SHARED: dict[bytes, Distances] = {}
-
-
 def shared(model: Model) -> Distances:
-    """The worker's distances under a model; those of an earlier model are let go."""
-    if model.toxic not in _SHARED:
-        _SHARED.clear()
-        _SHARED[model.toxic] = Distances(model)
-    return _SHARED[model.toxic]
+    """The worker's distances under a model."""
+    return remembered(("toxicity", model.ordinary, model.toxic), lambda: Distances(model))
 
 
 def keep_clean(docs: DataFrame, model: Model | None) -> DataFrame:
