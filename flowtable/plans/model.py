@@ -28,10 +28,12 @@ def split_stream(spark: SparkSession, sf: str, name: str, label: str, batches: i
 
 
 def dealt_stream(rows: DataFrame, label: str, batches: int = 4) -> DataFrame:
-    """Rows as a stream of several micro-batches, dealt without regard to their order."""
+    """Rows as a stream of several micro-batches, dealt without regard to their order. A micro-batch has as many files as
+    its share of the partitions of `rows`, so no task reads more than a partition holds."""
     path = new_path(rows.sparkSession, label)
-    rows.repartition(batches).write.parquet(path)
-    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    files = max(1, -(-rows.rdd.getNumPartitions() // batches))
+    rows.repartition(batches * files).write.parquet(path)
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def timed_stream(rows: DataFrame, by: str, label: str, batches: int = 4) -> DataFrame:
