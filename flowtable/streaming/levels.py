@@ -25,6 +25,7 @@ from flowtable.functions.common import names
 
 ROWS, FAN = 65_536, 4  # rows of a bucket; runs of a level
 BITS, KEYS = 32_768, 2_048  # of a bitmap; its keys, each with two bits: one in 64 others passes
+MANY = 512  # keys asked a bucket from which a run is read without its filters
 
 
 @dataclass(frozen=True)
@@ -125,10 +126,11 @@ class Levels:
     def _part(self, parts: int) -> Column:
         return F.pmod(F.shiftrightunsigned(self._hash(), 20), F.lit(parts)).alias("part")
 
-    def append(self, df: DataFrame, epoch: int) -> None:
-        """Add the rows of micro-batch `epoch`; keys once each."""
+    def append(self, df: DataFrame, epoch: int, rows: int | None = None) -> None:
+        """Add the rows of micro-batch `epoch`; keys once each. `rows` is their number, if known: it spares a large
+        micro-batch from being written twice."""
         live = self.runs(epoch)
-        made = self._write(df.withColumn("epoch", F.lit(epoch).cast("long")), f"e{epoch}", 0)
+        made = self._write(df.withColumn("epoch", F.lit(epoch).cast("long")), f"e{epoch}", 0, rows)
         live = [*live, made] if made.rows else live
         level = 0
         while len(full := [r for r in live if r.level == level]) >= self.fan:
@@ -162,8 +164,12 @@ class Levels:
             named = asked.select(F.pmod(self._hash(), F.lit(run.buckets)).alias("bucket"), self._part(run.parts), self._bits().alias("b"))
             return named.join(filters, ["bucket", "part"]).where(held).select(F.lit(run.name).alias("run"), "bucket")
 
-        hits = functools.reduce(DataFrame.unionAll, map(passing, live)).distinct().collect()  # no more than there are buckets
-        self.opened = sorted(f"{self.root}/runs/{r.run}/bucket={r.bucket}" for r in hits)
+        # So many keys a bucket that by chance alone one of them passes: the filters would keep nothing closed.
+        count = asked.count()
+        whole = [run for run in live if count >= MANY * run.buckets]
+        few = [run for run in live if count < MANY * run.buckets]
+        hits = functools.reduce(DataFrame.unionAll, map(passing, few)).distinct().collect() if few else []  # no more than there are buckets
+        self.opened = sorted([f"{self.root}/runs/{r.run}/bucket={r.bucket}" for r in hits] + [f"{self.root}/runs/{r.name}" for r in whole])
         named = asked.select(*[F.col(k).alias(f"__{k}") for k in self.key])  # a null key is a key, too
         same = functools.reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in self.key])
         return self._newest(self._read(self.opened).join(named, same, "left_semi"))

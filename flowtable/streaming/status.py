@@ -110,7 +110,7 @@ def stream_report(
         now = read_epoch(here, f"{root}/now", RECORD_SCHEMA, START)
         change = counted(now, 1).unionAll(counted(before, -1)).groupBy("run_id", "status").agg(F.sum("n").alias("n"))
         write_epoch(change.where("n <> 0"), f"{root}/reports", epoch)
-        table.append(now, epoch)
+        table.append(now, epoch, now.count())
 
     return each_batch(events, handle, f"{root}/checkpoint", trigger=when, skip_empty=True)
 
