@@ -1,10 +1,12 @@
 """Outputs as files at their own paths, written by a Python data source in two steps.
 
-Tasks of the write put files below a staging folder that nothing reads, each attempt into a folder of its own, with a
-list of what it wrote; on success the driver keeps the names of the lists of the attempts that count, one per
-task, and on failure deletes the folder. Then the declared files among the listed ones are moved to
-`outputs/<path>` by many tasks. So a killed task, a second attempt or a failed write leaves nothing visible,
-and moving again what was moved already changes nothing.
+Tasks of the write put contents below a staging folder that nothing reads, each attempt into a folder of its own, with
+a list of what it wrote: small contents one after another in packs, a large one as a file. On success the driver keeps
+the names of the lists of the attempts that count, one per task, and on failure deletes the folder. Then many tasks,
+dealt by pack, put the declared files among the listed ones at `outputs/<path>`: a small one is copied from its pack
+to a file beside it and moved, a large one moved. So a file that nobody declared never becomes one, the staging folder
+that is deleted at the end holds few files, a killed task, a second attempt or a failed write leaves nothing visible,
+and doing again what was done already changes nothing.
 """
 
 from __future__ import annotations
@@ -28,8 +30,11 @@ from flowtable.functions.common import names
 from flowtable.functions.paths import none_marker
 from flowtable.sources.listing import list_files
 
-LISTED = "path string, staged string, length bigint"
+LISTED = "path string, staged string, start bigint, length bigint"
 SOURCE = "flowtable_files"
+LARGE = 4 << 20  # bytes from which on a content is a staged file of its own
+PACK_FILES, PACK_BYTES = 1000, 16 << 20  # a pack ends with the content that reaches one of them
+FILES_PER_TASK = 10_000
 
 
 def located(uri: str) -> tuple[fs.FileSystem, str]:
@@ -58,10 +63,16 @@ class FilesWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Attempt:
         token, rows = uuid.uuid4().hex, []
         store, base = located(f"{self.staging}/files/{token}")
-        made: set[str] = set()
-        sink = None
-        schema = pa.schema([("path", pa.string()), ("staged", pa.string()), ("length", pa.int64())])
-        total = 0
+        schema = pa.schema([("path", pa.string()), ("staged", pa.string()), ("start", pa.int64()), ("length", pa.int64())])
+        sink = pack = None
+        total = staged = inside = size = 0  # contents and staged files; contents and bytes of the open pack
+
+        def create() -> pa.NativeFile:
+            nonlocal staged
+            if not staged:
+                store.create_dir(base, recursive=True)
+            staged += 1
+            return store.open_output_stream(f"{base}/{staged}", compression=None, buffer_size=1 << 20)
 
         def keep() -> None:
             nonlocal sink
@@ -77,19 +88,27 @@ class FilesWriter(DataSourceArrowWriter):
                 if content is None:
                     continue
                 data = content.encode() if isinstance(content, str) else bytes(content)
-                if path.endswith(".gz"):
+                if checked(path).endswith(".gz"):
                     data = gzip.compress(data, mtime=0)
-                at = f"{base}/{checked(path)}"
-                folder = at.rsplit("/", 1)[0]
-                if folder not in made:
-                    store.create_dir(folder, recursive=True)
-                    made.add(folder)
-                with store.open_output_stream(at, compression=None) as out:
-                    out.write(data)
-                rows.append({"path": path, "staged": f"{token}/{path}", "length": len(data)})
+                if len(data) >= LARGE:
+                    with create() as out:
+                        out.write(data)
+                    at, start = staged, None
+                else:
+                    if pack is None:
+                        pack, inside, size = create(), 0, 0
+                        number = staged  # of the pack; a large content may come in between
+                    pack.write(data)
+                    at, start, inside, size = number, size, inside + 1, size + len(data)
+                    if inside >= PACK_FILES or size >= PACK_BYTES:
+                        pack.close()
+                        pack = None
+                rows.append({"path": path, "staged": f"{token}/{at}", "start": start, "length": len(data)})
                 total += 1
                 if len(rows) >= 10_000:
                     keep()
+        if pack is not None:
+            pack.close()
         if rows:
             keep()
         if sink is not None:
@@ -121,7 +140,8 @@ class FilesSource(DataSource):
 
 
 def stage(produced: DataFrame, staging: str) -> DataFrame:
-    """Write the files of `produced` (path, content) below `staging`; (path, staged, length) of what counts."""
+    """Write the contents of `produced` (path, content) below `staging`; (path, staged, start, length) of what counts.
+    `start` is null where the staged file is the content and not a pack."""
     spark = produced.sparkSession
     spark.dataSource.register(FilesSource)
     rows = produced.select("path", F.col("content").cast("binary").alias("content"))
@@ -140,27 +160,31 @@ def write_output_files(
     """Put the declared outputs of a task at `root`/outputs/<path> and return their manifest rows.
 
     `produced`: path, content (text or bytes; a path that ends in `.gz` is compressed); `declared`: item, path,
-    optional. Contents go from the task that makes them to its files, without a shuffle; what is moved is decided
-    from paths alone. A missing optional file leaves an empty `.none` marker; a missing required one gets
+    optional. Contents go from the task that makes them to its packs, and from there to their files, without a shuffle;
+    what is put at its path is decided from paths alone. A missing optional file leaves an empty `.none` marker; a missing required one gets
     status `missing`, which raises if `strict`. A file that nobody declared is not kept. Of one path made
     twice, one is kept.
     """
     spark, keys, run = produced.sparkSession, names(item), uuid.uuid4().hex
     staging = f"{root}/.staging/{run}"
-    listed = stage(produced, staging).groupBy("path").agg(F.min(F.struct("staged", "length")).alias("f"))
+    made = stage(produced, staging)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-made.count() // FILES_PER_TASK))
+    listed = made.groupBy("path").agg(F.min(F.struct("staged", "start", "length")).alias("f"))
     status = F.when(F.col("f").isNotNull(), "file").when(F.col("optional"), "none").otherwise("missing")
     plan = declared.join(listed, "path", "left").select(
         F.lit(task).alias("task"), *keys,
         F.when(status == "none", none_marker("path")).otherwise(F.col("path")).alias("path"), status.alias("status"),
-        F.coalesce("f.length", F.lit(0)).cast("bigint").alias("length"), F.lit(epoch).cast("bigint").alias("epoch"), "f.staged",
+        F.coalesce("f.length", F.lit(0)).cast("bigint").alias("length"), F.lit(epoch).cast("bigint").alias("epoch"), "f.staged", "f.start",
     )
     outputs, files = f"{root}/outputs", f"{staging}/files"
 
-    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (store, to), (_, held) = located(outputs), located(files)
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (store, to), (_, held), (_, own) = located(outputs), located(files), located(f"{files}/{uuid.uuid4().hex}")
         made: set[str] = set()
+        pack = opened = None
         for batch in batches:
-            for path, kind, staged in zip(*(batch.column(c).to_pylist() for c in ("path", "status", "staged")), strict=True):
+            columns = (batch.column(c).to_pylist() for c in ("path", "status", "staged", "start", "length"))
+            for path, kind, staged, start, length in zip(*columns, strict=True):
                 if kind == "missing":
                     continue
                 at = f"{to}/{checked(path)}"
@@ -170,14 +194,30 @@ def write_output_files(
                     made.add(folder)
                 if kind == "none":
                     store.open_output_stream(at, compression=None).close()
+                elif start is not None:
+                    if staged != opened:
+                        if pack is None:
+                            store.create_dir(own, recursive=True)
+                        else:
+                            pack.close()
+                        pack, opened = store.open_input_file(f"{held}/{staged}"), staged
+                    data = pack.read_at(length, start)
+                    if len(data) != length:
+                        raise EOFError(f"{held}/{staged}")
+                    with store.open_output_stream(f"{own}/file", compression=None) as out:
+                        out.write(data)
+                    store.move(f"{own}/file", at)  # whole or not at all, and again if an earlier attempt did it
                 elif store.get_file_info(f"{held}/{staged}").type == fs.FileType.File:
                     store.move(f"{held}/{staged}", at)
                 elif store.get_file_info(at).type != fs.FileType.File:  # else an earlier attempt moved it
                     raise FileNotFoundError(f"{held}/{staged}")
-            yield batch.drop_columns(["staged"])
+            yield batch.drop_columns(["staged", "start"])
+        if pack is not None:
+            pack.close()
 
-    kept = T.StructType([f for f in plan.schema.fields if f.name != "staged"])
-    plan.repartition("path").mapInArrow(move, kept).write.parquet(f"{root}/files/run={run}")
+    kept = T.StructType([f for f in plan.schema.fields if f.name not in ("staged", "start")])
+    dealt = plan.repartition(tasks, F.coalesce("staged", "path")).sortWithinPartitions("staged", "start", "path")
+    dealt.mapInArrow(place, kept).write.parquet(f"{root}/files/run={run}")
     store, at = located(staging)
     store.delete_dir(at)
     manifest = spark.read.schema(kept).parquet(f"{root}/files/run={run}").drop("epoch")
