@@ -18,7 +18,7 @@ from flowtable.plans.registry import query
 from flowtable.operators.incremental import downstream
 from flowtable.plans.run import ChainStep, GraphStep, run_chain, run_graph, run_step
 from flowtable.plans.workflow import Workflow
-from flowtable.session import new_path
+from flowtable.session import materialise, new_path
 from flowtable.sources.items import items
 from flowtable.sources.listing import list_files
 from flowtable.sources.files import output_files, write_output_files
@@ -364,7 +364,8 @@ def chain_rerun(spark, sf):
     # Three chained steps, each losing some items, run twice: what is there is skipped and flows on, what was
     # lost is tried again, and the store knows how the runs ended.
     store = Store(spark, new_path(spark, "chain"))
-    docs = m.documents(m.table(spark, sf, "documents")).select("item_id", F.md5("text").alias("text"))
+    # Written once: both runs read them several times, and the whole texts only make the digests.
+    docs = materialise(m.documents(m.table(spark, sf, "documents")).select("item_id", F.md5("text").alias("text")), "digests")
     out = lambda task: render(task + "/{i}.txt", i=F.col("item_id"))
     steps = [
         ChainStep(
@@ -397,7 +398,7 @@ SELECT task, CASE WHEN lost THEN 'lost' ELSE 'done' END AS outcome, count(*) AS
 def graph_run(spark, sf):
     # A diamond and a step aside, two at once: an item reaches the last step if both branches let it through.
     store = Store(spark, new_path(spark, "graph"))
-    docs = m.documents(m.table(spark, sf, "documents")).select("item_id", F.md5("text").alias("text"))
+    docs = materialise(m.documents(m.table(spark, sf, "documents")).select("item_id", F.md5("text").alias("text")), "digests")
 
     def step(task, lost, after=()):
         out = render(task + "/{i}.txt", i=F.col("item_id"))

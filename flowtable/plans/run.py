@@ -58,7 +58,8 @@ def run_step(
     keys = names(item)
     # Written once, before the outputs change; keys only, so skipped items are not copied.
     planned = materialise(plan_skips(items.select(*keys), declare(items), store.manifest(), item, force), "plan")
-    todo = items.join(planned.where(F.col("action") == "run").select(*keys), keys, "left_semi")
+    ran = planned.where(F.col("action") == "run").select(*keys)
+    todo = items.join(ran, keys, "left_semi")
     error = None
     try:
         files = write_outputs(
@@ -67,8 +68,9 @@ def run_step(
         missing = files.where(F.col("status") == "missing").select(*keys).distinct()
     except Exception as e:  # noqa: BLE001 - a failing step is an outcome, not the end of the run
         error = f"{type(e).__name__}: {e}"
-        missing = planned.where(F.col("action") == "run").select(*keys)
-    _record(store, version, task, todo, missing, item, run_id, grouping, execution, started, error)
+        missing = ran
+    # Without `execution` the history needs keys only, and those are written already.
+    _record(store, version, task, ran if execution is None else todo, missing, item, run_id, grouping, execution, started, error)
     return StepResult(
         items.join(missing, keys, "left_anti"), items.join(missing, keys, "left_semi"), planned, error
     )

@@ -60,7 +60,11 @@ class Store:
         return self._newest().drop("epoch")
 
     def manifest(self) -> DataFrame:
-        return self.files().select("path")
+        """(path) of the files that are there."""
+        # As in `_newest`, a removal wins among rows of one time; one number per path, so that the aggregation hashes.
+        last = F.max(F.col("epoch") * 2 + (F.col("status") == "removed").cast("int")).alias("last")
+        there = self._read("files", FILES_SCHEMA).where("status <> 'missing'").groupBy("path").agg(last)
+        return there.where("last % 2 = 0").select("path")
 
     def content(self) -> DataFrame:
         """(path, content) of the files that are there."""
